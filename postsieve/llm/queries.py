@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import id_remainder, table
 from .exact_dedup import exact_dedup
 from .language import fit_profiles, identify_language
+from .near_dedup import near_dedup
 from .packing import pack
 from .quality import quality
 from .secrets import scan_secrets
@@ -26,6 +27,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_remainder(4) == 2
@@ -52,7 +57,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op3_language_id, op6_token_counts, op8_best_fit_packing, op9_secret_scan, op10_quality)
+    f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_language_id, op6_token_counts, op8_best_fit_packing, op9_secret_scan, op10_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {
