@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import id_bytes, written
 from .components import components
-from .shingles import lower_words, shingle_set, word_hashes
+from .shingles import hashed_words, shingle_set
 
 K = 64
 #: Shares of a sketch that a linked pair has in common at least (4.4 and 4 standard deviations below 0.8 for K = 64).
@@ -48,8 +48,8 @@ def signatures(docs: DataFrame, words: int, k: int = K) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, key, sketch, maps = [], [], [], np.zeros((b.num_rows, 4), np.int64)
-            for i, raw in enumerate(b.column("raw").to_pylist()):
-                s = shingle_set(word_hashes(lower_words(raw)), words)
+            for i, (h, _) in enumerate(hashed_words(b.column("raw").to_pylist())):
+                s = shingle_set(h, words)
                 n.append(len(s))
                 key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 low = s[:k]
@@ -121,7 +121,7 @@ def _needed_sets(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
             at = b.column("at").to_numpy()
             b = b.filter(pa.array((shared.value[at >> 3] >> (at & 7) & 1).astype(bool)))
             if b.num_rows:
-                made = [shingle_set(word_hashes(lower_words(r)), words).view(np.int64) for r in b.column("raw").to_pylist()]
+                made = [shingle_set(h, words).view(np.int64) for h, _ in hashed_words(b.column("raw").to_pylist())]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]), pa.int32()), pa.array(np.concatenate(made)))
                 yield pa.record_batch({"node": b.column("doc_id"), "s": lists})
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import id_remainder, table
+from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .language import fit_profiles, identify_language
 from .near_dedup import near_dedup
@@ -38,6 +39,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -57,7 +62,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_language_id, op6_token_counts, op8_best_fit_packing, op9_secret_scan, op10_quality)
+    f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_language_id, op4_decontamination, op6_token_counts, op8_best_fit_packing, op9_secret_scan, op10_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {

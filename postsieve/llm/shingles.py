@@ -2,32 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+
 import numpy as np
-import xxhash
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _SHORT = np.uint64(0x2545F4914F6CDD1D)
-#: Words that a worker's cache of hashes holds at most, and the longest of them.
-CACHED_WORDS, CACHED_BYTES = 1_000_000, 48
-
-
-class WordHashes(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= CACHED_BYTES:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_hashes = WordHashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+#: Bytes that are hashed at once, unless a document has more.
+CHUNK = 1 << 17
+#: An odd number, its inverse modulo 2^64, and a value for each byte; A-Z have those of a-z.
+_BASE = 0x9E3779B97F4A7C15
+_UNBASE = pow(_BASE, -1, 1 << 64)
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -54,6 +42,42 @@ def shingle_set(h: np.ndarray, size: int) -> np.ndarray:
     return mixed((h * _ODD[: len(h)]).sum(dtype=np.uint64, keepdims=True) + _SHORT * np.uint64(len(h)))
 
 
-def lower_words(raw: bytes | None) -> list[bytes]:
-    """Words between blanks, A-Z in lower case."""
-    return raw.lower().split() if raw else []
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD[1])
+_BYTE[0x41:0x5B] = _BYTE[0x61:0x7B]
+
+
+@lru_cache(maxsize=2)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def hashed_words(raws: Iterable[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text its words' 64-bit hashes and their lengths in bytes.
+
+    Words are runs between blanks; A-Z count as a-z. The hash is a polynomial over the bytes, taken
+    for all words of many texts from one running sum.
+    """
+    held, size = [], 0
+    for raw in raws:
+        held.append(raw or b"")
+        size += len(held[-1]) + 1
+        if size >= CHUNK:
+            yield from _hashed(held)
+            held, size = [], 0
+    if held:
+        yield from _hashed(held)
+
+
+def _hashed(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    n = 1 << max(CHUNK.bit_length(), len(raw).bit_length())
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * _powers(_BASE, n)[: len(raw)], out=sums[1:])
+    turns = np.flatnonzero(np.diff(np.concatenate(([True], _BLANK[raw]))))  # the last byte is a blank: turns come in pairs
+    starts, ends = turns[::2], turns[1::2]
+    hashes = mixed((sums[ends] - sums[starts]) * _powers(_UNBASE, n)[starts] + (ends - starts).astype(np.uint64))
+    bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield hashes[a:b], (ends - starts)[a:b]
