@@ -10,10 +10,12 @@ from .common import id_remainder, table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .language import fit_profiles, identify_language
+from .licenses import scan_licenses
 from .near_dedup import near_dedup
 from .packing import pack
 from .quality import quality
 from .secrets import scan_secrets
+from .shards import default_folder, materialise
 from .tokens import token_counts
 
 
@@ -43,10 +45,19 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return materialise(docs, tokenizer_path("byte_bpe_50k.tiktoken"), default_folder(docs), key=20)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -62,7 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_language_id, op4_decontamination, op6_token_counts, op8_best_fit_packing, op9_secret_scan, op10_quality)
+    f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_language_id, op4_decontamination, op5_token_shards, op6_token_counts, op7_license_scan, op8_best_fit_packing, op9_secret_scan, op10_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {
