@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from postsieve.session import ship
 
 #: Separators of words in every contract: space, tab, line feed, vertical tab, form feed, return.
 #: ``bytes.split()`` splits on exactly these, ``bytes.lower()`` lower-cases exactly A-Z.
@@ -23,6 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def id_text(docs: DataFrame) -> DataFrame:
     """``doc_id`` as long and ``text`` as string; all else is dropped."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
