@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from postsieve.functions import text
 from postsieve.operators.canonical import canonicalise, redact
@@ -139,12 +140,12 @@ def _addresses(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), text.strip), lambda x: x != "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_text(markup: pd.Series) -> pd.Series:
     return markup.map(lambda x: None if x is None else html_text(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(c: pd.Series) -> pd.Series:
     """All character references, where ``functions.text.strip_html`` knows the common ones."""
     return c.map(lambda x: None if x is None else html_references.unescape(x))
