@@ -7,13 +7,15 @@
    enough to index, of each sketch, its rarest ``size - least + 1`` values: lists of passages that
    many documents share stay out unless a document mostly consists of such passages.
 3. In each list the member whose values are the most common (the likely original of a group of
-   copies) is the hub; members are compared with it. What links joins one component.
-4. Pairs of a list that lie in different components are then compared in blocks of ``BLOCK``
-   members; no list is capped. Lists that lie in one component, like those of a large group of
-   copies, make no pair.
-5. A compared pair passes a bound on the shared values from 256-bit maps, then the estimate from the
-   sketch of the union, then the exact similarity of the full sets, which are computed again from
-   the texts of the documents concerned.
+   copies) is the hub. Members are compared with their hubs: the pair passes a bound on the shared
+   values from 256-bit maps, then the estimate from the sketch of the union, then the exact
+   similarity of the full sets. What links joins one component.
+4. A linked pair of two components has a hub in common. The members of a hub that lie in several
+   components are dealt into blocks of bounded size, those of one great component into blocks of
+   their own, and every two blocks meet in a task that compares full sets exactly and returns the
+   links that join components. Blocks of the same component don't meet, so a large group of copies
+   that its hub has joined costs nothing more; no list and no group is capped.
+5. Full sets are computed again from the texts of the documents concerned.
 
 The only thing that the driver gathers is a bit map of fixed size (2^23 bits) that tells which
 documents' sets are needed; wrong hits cost work, never results.
@@ -36,7 +38,8 @@ from .shingles import hashed_words, shingle_set
 K = 64
 #: Shares of a sketch that a linked pair has in common at least (4.4 and 4 standard deviations below 0.8 for K = 64).
 LEAST_SHARE, LEAST_ESTIMATE = 0.575, 0.6
-BLOCK = 256
+#: Members and shingles of a block, and columns of a task's matrix at once.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 200_000, 8192
 MAP_BITS, CHUNK = 1 << 23, 32768
 SALTS = 8
 MAPS = ["m0", "m1", "m2", "m3"]
@@ -129,14 +132,70 @@ def _needed_sets(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(sets, "node long, s array<long>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have the similarity. ``a`` is the member, ``b`` the hub: the join on hubs comes last, when rows carry a set and skew shows in bytes."""
-    sets = _needed_sets(docs, pairs, words)
     joined = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = joined.select("a", "b", F.size("sa").alias("x"), F.size("sb").alias("y"), F.size(F.array_intersect("sa", "sb")).alias("c"))
     return common.filter(F.col("c") * 100 >= (F.col("x") + F.col("y") - F.col("c")) * percent).select("a", "b")
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """hub, i, j, node, label: the members of each hub of several components, for every two blocks that must meet.
+
+    A component with a block's worth of members has blocks of its own (``pure``); the others share some.
+    """
+    counts = members.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"))
+    several = members.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("hub")
+    parts = counts.join(several, "hub").withColumn("parts", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int"))
+    pools = parts.filter("parts = 1").groupBy("hub").agg(F.ceil(F.greatest(F.sum("m") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("pools"))
+    dealt = members.join(parts.select("hub", "label", "parts"), ["hub", "label"]).join(pools, "hub", "left")
+    pure = F.when(F.col("parts") > 1, F.col("label"))
+    own, shared = F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("parts"))), F.xxhash64(F.lit("pool"), F.pmod(F.xxhash64("label"), F.col("pools")))
+    dealt = dealt.select("hub", "node", "label", pure.alias("pure"), F.when(F.col("parts") > 1, own).otherwise(shared).alias("block"))
+    blocks = dealt.select("hub", "block", "pure").distinct()
+    x, y = blocks.alias("x"), blocks.alias("y")
+    meet = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.block") <= F.col("y.block")) & ~F.coalesce(F.col("x.pure") == F.col("y.pure"), F.lit(False))
+    tasks = x.join(y, meet).select(F.col("x.hub").alias("hub"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+    sides = tasks.select("hub", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    return dealt.drop("pure").join(sides, ["hub", "block"]).select("hub", "i", "j", "node", "label")
+
+
+def _joins(t: pa.Table, percent: int) -> pa.Table:
+    """Label pairs (a, b) that the links among a task's members join, no more than make a forest."""
+    labels = t.column("label").to_numpy()
+    s = t.column("s").combine_chunks()
+    sizes = np.diff(s.offsets.to_numpy())
+    values, owner = s.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+    _, column, counts = np.unique(values, return_inverse=True, return_counts=True)
+    again = counts[column] > 1
+    _, column = np.unique(column[again], return_inverse=True)
+    owner = owner[again]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    common = np.zeros((len(sizes), len(sizes)), np.float32)  # counts below 2^24 are exact
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (lo, lo + COLUMNS))
+        x = np.zeros((len(sizes), COLUMNS), np.float32)
+        x[owner[a:b], column[a:b] - lo] = 1
+        common += x @ x.T
+    total = sizes[:, None] + sizes[None, :]
+    linked = (common * 100 >= (total - common) * percent) & (labels[:, None] < labels[None, :])
+    parent: dict[int, int] = {}
+    out = []
+    for p, q in set(zip(*(labels[k].tolist() for k in np.nonzero(linked | linked.T)), strict=True)):
+        a, b = _root(parent, p), _root(parent, q)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((p, q))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+
+def _root(parent: dict[int, int], x: int) -> int:
+    while x in parent:
+        x = parent[x]
+    return x
+
+
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -155,25 +214,16 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K) -
     # Each member against its lists' hubs.
     hub = F.max(F.struct("score", (-F.col("node")).alias("minus"), "n", *MAPS)).alias("h")
     hubs = lists.groupBy("value").agg(hub, F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("value").alias("w"), (-F.col("h.minus")).alias("node"), "h.n", *(f"h.{m}" for m in MAPS))
-    to_hub = lists.alias("x").join(hubs.alias("y"), F.col("x.value") == F.col("y.w")).filter(F.col("x.node") != F.col("y.node")).filter(_may_link("x", "y", percent, k))
-    first = written(_estimated(to_hub.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), classes, k))
-    links = written(_verified(docs, first, words, percent))
-    joint = written(components(links))
-
-    # Pairs of a list that lie in different components, in blocks.
-    members = lists.join(joint, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = members.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("value").alias("w"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(mixed, F.col("value") == F.col("w")).drop("w").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    x = dealt.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1))).alias("x")
-    y = dealt.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block")))).alias("y")
-    met = (F.col("x.value") == F.col("y.value")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-    apart = (F.col("x.label") != F.col("y.label")) & ((F.col("x.i") < F.col("x.j")) | (F.col("x.node") < F.col("y.node"))) & _may_link("x", "y", percent, k)
-    pairs = x.join(y, met & apart).select(F.least("x.node", "y.node").alias("b"), F.greatest("x.node", "y.node").alias("a")).distinct()
-    tested = first.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a"))
-    second = written(_estimated(pairs.join(tested, ["a", "b"], "left_anti").select("a", "b"), classes, k))
-    more = _verified(docs, second, words, percent)
-    label = lambda side: joint.toDF(side, f"l{side}")
-    between = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    under = lists.alias("x").join(hubs.alias("y"), F.col("x.value") == F.col("y.w")).select(F.col("x.node").alias("node"), F.col("y.node").alias("hub"), F.col("x.n").alias("n"), _may_link("x", "y", percent, k).alias("may"))
+    members = written(under.distinct())
+    first = written(_estimated(members.filter("may and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")), classes, k))
+    joint = written(components(_verified(first, _needed_sets(docs, first, words), percent)))
+
+    # What is still apart under one hub, in blocks.
+    labelled = members.join(joint, "node", "left").select("hub", "node", "n", F.coalesce("label", "node").alias("label"))
+    tasks = written(_blocks(labelled))
+    sets = _needed_sets(docs, tasks.select(F.col("node").alias("a"), F.col("node").alias("b")).distinct(), words)
+    between = tasks.join(sets, "node").groupBy("hub", "i", "j").applyInArrow(lambda t: _joins(t, percent), "a long, b long")
     merged = components(between).toDF("of", "top")
 
     # From classes back to rows; a class of many copies is dealt over salts.
