@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -76,15 +77,15 @@ def permute(index: np.ndarray, n: int, key: int, inverse: bool = False) -> np.nd
 def _sequences(batches: Iterator[pa.RecordBatch], path: str, end_id: int, length: int, keep: bool) -> Iterator[tuple]:
     """(ids, first doc_id, last doc_id) of a partition's sequences in order; only the last one may be shorter. Without ``keep``, ids are their number."""
     enc = _encoding(path)
-    end = np.array([end_id], np.uint32)
     held, size, docs = [], 0, []
     for b in batches:
         for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            ids = np.concatenate((enc.encode_to_numpy(text or "", disallowed_special=()), end))
+            ids = enc.encode_ordinary(text or "")
             docs.append(i)
             if keep:
-                held.append(ids)
-            size += len(ids)
+                ids.append(end_id)
+                held.append(np.array(array("I", ids)))
+            size += len(ids) + (not keep)
             if size >= length:
                 joined = np.concatenate(held) if keep else None
                 for at in range(0, size - length + 1, length):
