@@ -1,8 +1,8 @@
-"""Rule-based signals as Column expressions: customer status, deadlines, priority."""
+"""Rule-based signals: customer status, deadlines, priority."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsieve.settings import DEFAULT, Settings
@@ -85,19 +85,24 @@ def domain(sender: Column) -> Column:
     return F.get(F.split(address(sender), "@"), F.lit(1))
 
 
-def customer_status(exact: Column, by_domain: Column, text: Column, enabled: bool = True) -> Column:
-    """struct<value, confidence, source>: known address, known domain, text signal, else new."""
+def customer_status(df: DataFrame, exact: Column, by_domain: Column, text: Column, enabled: bool = True) -> DataFrame:
+    """Adds customer_status, struct<value, confidence, source>: known address, known domain, text signal, else new.
+
+    Signals stand in a column of their own, so that each pattern runs once a row.
+    """
     def told(value: str, confidence: float, source: str) -> Column:
         return F.struct(F.lit(value).alias("value"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source"))
 
     if not enabled:
-        return told("unknown", 0.5, "crm_disabled")
-    signal = text_signal(text)
-    return (
+        return df.withColumn("customer_status", told("unknown", 0.5, "crm_disabled"))
+    counted = df.withColumns({"__old": _total(matches(text, EXISTING_CUSTOMER)), "__new": _total(matches(text, NEW_CUSTOMER))})
+    old, new = F.col("__old"), F.col("__new")
+    status = (
         F.when(exact, told("existing", 1.0, "crm_exact_match")).when(by_domain, told("existing", 0.7, "crm_domain_match"))
-        .when(signal == "existing", told("existing", 0.5, "text_signal")).when(signal == "new", told("new", 0.6, "text_signal"))
+        .when(old > new, told("existing", 0.5, "text_signal")).when(new > old, told("new", 0.6, "text_signal"))
         .otherwise(told("new", 0.8, "no_crm_no_signal"))
     )
+    return counted.withColumn("customer_status", status).drop("__old", "__new")
 
 
 def deadline_boost(text: Column) -> Column:
@@ -113,20 +118,28 @@ def deadline_patterns(text: Column) -> Column:
     return F.when(F.size(strong) > 0, strong).otherwise(weak)
 
 
-def priority(subject: Column, body: Column, sentiment: Column, status: Column, vip: Column, s: Settings = DEFAULT) -> Column:
-    """struct<value, confidence, raw_score, signals> from terms (each once, as substrings), sentiment, status, deadline and VIP flag."""
-    text = F.lower(F.concat_ws(" ", F.coalesce(subject, F.lit("")), F.coalesce(body, F.lit(""))))
-    urgent, high = (_total([F.contains(text, F.lit(t)) for t in terms]) for terms in (URGENT_TERMS, HIGH_TERMS))
-    negative, new = F.coalesce(sentiment == "negative", F.lit(False)), F.coalesce(status == "new", F.lit(False))
-    boost, is_vip = deadline_boost(text), F.coalesce(vip, F.lit(False))
-    score = urgent * s.urgent_weight + high * s.high_weight + negative.cast("double") * s.negative_weight + new.cast("double") * s.new_customer_weight + boost * s.deadline_weight + is_vip.cast("double") * s.vip_weight
+def priority(df: DataFrame, subject: Column, body: Column, sentiment: Column, status: Column, vip: Column, s: Settings = DEFAULT) -> DataFrame:
+    """Adds priority, struct<value, confidence, raw_score, signals>, from terms (each once, as substrings), sentiment, status, deadline and VIP flag.
+
+    Each step is a column of its own, so that no term is looked for twice.
+    """
+    out = df.withColumn("__text", F.lower(F.concat_ws(" ", F.coalesce(subject, F.lit("")), F.coalesce(body, F.lit("")))))
+    count = lambda terms: _total([F.contains("__text", F.lit(t)) for t in terms])
+    out = out.withColumns({
+        "__urgent": count(URGENT_TERMS), "__high": count(HIGH_TERMS), "__boost": deadline_boost(F.col("__text")),
+        "__negative": F.coalesce(sentiment == "negative", F.lit(False)), "__new": F.coalesce(status == "new", F.lit(False)), "__vip": F.coalesce(vip, F.lit(False)),
+    })
+    weights = (("__urgent", s.urgent_weight), ("__high", s.high_weight), ("__negative", s.negative_weight), ("__new", s.new_customer_weight), ("__boost", s.deadline_weight), ("__vip", s.vip_weight))
+    out = out.withColumn("__score", sum((F.col(c).cast("int") * w for c, w in weights), F.lit(0.0)))
+    score = F.col("__score")
     signals = F.filter(
         F.array(
-            F.when(urgent > 0, F.concat(F.lit("urgent_keywords:"), urgent.cast("string"))), F.when(high > 0, F.concat(F.lit("high_keywords:"), high.cast("string"))),
-            F.when(negative, F.lit("negative_sentiment")), F.when(new, F.lit("new_customer")), F.when(boost > 0, F.lit("deadline_mentioned")), F.when(is_vip, F.lit("vip_customer")),
+            F.when(F.col("__urgent") > 0, F.concat(F.lit("urgent_keywords:"), F.col("__urgent").cast("string"))), F.when(F.col("__high") > 0, F.concat(F.lit("high_keywords:"), F.col("__high").cast("string"))),
+            F.when(F.col("__negative"), F.lit("negative_sentiment")), F.when(F.col("__new"), F.lit("new_customer")), F.when(F.col("__boost") > 0, F.lit("deadline_mentioned")), F.when(F.col("__vip"), F.lit("vip_customer")),
         ),
         lambda x: x.isNotNull(),
     )
     value = F.when(score >= s.urgent_from, "urgent").when(score >= s.high_from, "high").when(score >= s.medium_from, "medium").otherwise("low")
     sure = F.when(score >= s.urgent_from, 0.95).when(score >= s.high_from, 0.85).when(score >= s.medium_from, 0.75).otherwise(0.7)
-    return F.struct(value.alias("value"), sure.alias("confidence"), score.alias("raw_score"), signals.alias("signals"))
+    told = F.struct(value.alias("value"), sure.alias("confidence"), score.alias("raw_score"), signals.alias("signals"))
+    return out.withColumn("priority", told).drop("__text", "__score", *(c for c, _ in weights))

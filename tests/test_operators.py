@@ -74,7 +74,7 @@ def test_deadlines(column):
     ],
 )
 def test_priority(spark, subject, body, sentiment, status, vip, value, score):
-    row = frame(spark, [(subject, body, sentiment, status, vip)], "s string, b string, x string, c string, v boolean").select(signals.priority(*(F.col(c) for c in "sbxcv")).alias("p")).first().p
+    row = signals.priority(frame(spark, [(subject, body, sentiment, status, vip)], "s string, b string, x string, c string, v boolean"), *(F.col(c) for c in "sbxcv")).first().priority
     assert (row.value, row.raw_score) == (value, score)
 
 
@@ -165,7 +165,7 @@ def test_safe_regex(spark):
     import re
 
     row = frame(spark, [(["a.b", "c+d", "città"],), ([],)], "f array<string>").select(dictionary.safe_regex(F.col("f")).alias("r")).collect()
-    assert re.findall(row[0].r, "A.B axb c+d città") == ["A.B", "c+d", "città"][: 3 if False else None] or re.search(row[0].r, "x a.b y")
+    assert re.findall(row[0].r, "A.B axb c+d città") == ["A.B", "c+d", "città"]
     assert not re.search(row[1].r, "anything") and not re.search(row[0].r, "axb")
 
 
