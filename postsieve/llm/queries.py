@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import id_remainder, table
 from .decontaminate import decontaminate
@@ -36,7 +37,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = id_remainder(4) == 2
+    held_out = F.coalesce(id_remainder(4) == 2, F.lit(False))
     profiles = fit_profiles(docs, learn=~held_out)
     return identify_language(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
@@ -67,7 +68,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = id_remainder(3) == 1
+    held_out = F.coalesce(id_remainder(3) == 1, F.lit(False))
     scored = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
