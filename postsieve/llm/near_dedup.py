@@ -148,7 +148,9 @@ def _blocks(members: DataFrame) -> DataFrame:
     several = members.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("hub")
     parts = counts.join(several, "hub").withColumn("parts", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int"))
     pools = parts.filter("parts = 1").groupBy("hub").agg(F.ceil(F.greatest(F.sum("m") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("pools"))
-    dealt = members.join(parts.select("hub", "label", "parts"), ["hub", "label"]).join(pools, "hub", "left")
+    known = parts.select("hub", "label", "parts").join(pools, "hub", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))  # a hub, or one component of it, may have a great share of all rows
+    dealt = salted.join(known, ["hub", "label", "salt"])
     pure = F.when(F.col("parts") > 1, F.col("label"))
     own, shared = F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("parts"))), F.xxhash64(F.lit("pool"), F.pmod(F.xxhash64("label"), F.col("pools")))
     dealt = dealt.select("hub", "node", "label", pure.alias("pure"), F.when(F.col("parts") > 1, own).otherwise(shared).alias("block"))
