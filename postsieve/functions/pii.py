@@ -12,9 +12,17 @@ EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 PHONE = r"\b(\+39\s?)?((0\d{1,4}[\s\-]?\d{4,8})|([3]\d{2}[\s\-]?\d{6,7}))\b"
 LEVELS = {"none": (), "minimal": ("email",), "standard": ("email", "phone"), "aggressive": ("email", "phone")}
 
+#: What every match holds; a text without it is not searched.
+HINTS = {EMAIL: "@"}
+
 SPANS = "array<struct<start:int,end:int,text:string>>"
 
 
+def _has(text: Column, pattern: str) -> Column:
+    found = text.rlike(pattern)
+    return F.contains(text, F.lit(HINTS[pattern])) & found if pattern in HINTS else found
+
+
 def spans(text: Column, pattern: str) -> Column:
     """All matches with positions: lengths of what lies between matches and of the matches, added up."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
@@ -26,14 +34,14 @@ def spans(text: Column, pattern: str) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("text")))).alias("out"))
 
     pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("hit")), lambda x: x["hit"].isNotNull())
-    return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPANS))
+    return F.when(_has(text, pattern), F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPANS))
 
 
 def redacted(text: Column, pattern: str, kind: str) -> Column:
     """The text with the i-th match replaced by ``[KIND_i]``."""
     gaps = F.split(text, pattern, -1)
     filled = F.transform(gaps, lambda g, i: F.when(i == 0, g).otherwise(F.concat(F.lit(f"[{kind.upper()}_"), i.cast("string"), F.lit("]"), g)))
-    return F.when(text.rlike(pattern), F.array_join(filled, "")).otherwise(text)
+    return F.when(_has(text, pattern), F.array_join(filled, "")).otherwise(text)
 
 
 def salted_hash(value: Column, salt: str = "") -> Column:

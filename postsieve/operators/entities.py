@@ -80,8 +80,9 @@ def by_lexicon(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def _places(low: Column, form: Column) -> Column:
-    """All places (from 1) at which a text has another one, overlapping ones too."""
-    gaps = F.transform(F.split(low, F.concat(F.lit(r"(?=\Q"), F.replace(form, F.lit(r"\E"), F.lit("")), F.lit(r"\E)")), -1), F.length)
+    """All places (from 1) at which a text has another one as whole words, overlapping ones too; also 1 if it starts with it."""
+    literal = F.concat(F.lit(r"(?=\Q"), F.replace(form, F.lit(r"\E"), F.lit("")), F.lit(r"\E(?![\p{L}\p{N}]))(?<![\p{L}\p{N}])"))
+    gaps = F.transform(F.split(low, literal, -1), F.length)
     ends = F.aggregate(gaps, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, g: F.struct((a["at"] + g).alias("at"), F.concat(a["out"], F.array(a["at"] + g)).alias("out")))["out"]
     starts = F.transform(F.concat(F.array(F.lit(0)), ends), lambda x: x + 1)
     return F.filter(F.array_distinct(starts), lambda p: F.substring(low, p, F.length(form)) == form)

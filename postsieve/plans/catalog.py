@@ -13,6 +13,7 @@ from postsieve.operators import candidates, canonical, classify, dictionary, ent
 from postsieve.plans import oracle as o
 from postsieve.plans import views as v
 from postsieve.sources import lists
+from postsieve.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,7 +93,7 @@ def canon_full(spark, d):
 
 @query("SELECT page_id, regexp_replace('vedi ' || url || ' e ' || url || '/x?y=1 oggi', 'https?://[^\\s]+', '[URL]', 'g') AS text FROM pages")
 def url_replace(spark, d):
-    page = spark.read.parquet(f"{d}/pages.parquet")
+    page = load(spark, d, "pages")
     return page.select("page_id", text.replace_urls(F.concat(F.lit("vedi "), F.col("url"), F.lit(" e "), F.col("url"), F.lit("/x?y=1 oggi"))).alias("text"))
 
 
@@ -107,7 +108,7 @@ _TAGLESS = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]
 
 @query(f"""SELECT page_id, {o.strip(f"regexp_replace({_unescape_sql(_TAGLESS)}, '\\s+', ' ', 'g')")} AS text FROM pages""")
 def html_strip(spark, d):
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", text.strip_html(F.col("html")).alias("text"))
+    return load(spark, d, "pages").select("page_id", text.strip_html(F.col("html")).alias("text"))
 
 
 _MARKUP = """'<p><IMG alt="x" src="https://t.example.org/tracking/' || CAST(page_id AS STRING) || '.gif"><a class="m" href="mailto:a@b.it">scrivi <b>qui</b></a></p>' || html"""
@@ -115,7 +116,7 @@ _MARKUP = """'<p><IMG alt="x" src="https://t.example.org/tracking/' || CAST(page
 
 @query(f"""SELECT page_id, regexp_replace(regexp_replace({_MARKUP}, '(?i)<img[^>]*src=[''"][^''"]*tracking[^''"]*[''"][^>]*>', '', 'g'), '(?i)<a[^>]*href=[''"]mailto:[^''"]*[''"][^>]*>(.*?)</a>', '\\1', 'g') AS html FROM pages""")
 def html_clean(spark, d):
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.expr(_MARKUP).alias("h")).select("page_id", text.clean_html(F.col("h")).alias("html"))
+    return load(spark, d, "pages").select("page_id", F.expr(_MARKUP).alias("h")).select("page_id", text.clean_html(F.col("h")).alias("html"))
 
 
 @query(CANON + f"SELECT doc_id, {o.redacted('body', o.EMAIL, 'EMAIL')} AS text, CAST(len(regexp_extract_all(body, {o.EMAIL})) AS BIGINT) AS n FROM canon")
@@ -135,7 +136,7 @@ def _log_sql(kind: str, table: str, x: str, pattern: str) -> str:
 
 @query(CANON + f", m AS (SELECT doc_id, {o.redacted('body', o.EMAIL, 'EMAIL')} AS t FROM canon) {_log_sql('email', 'canon', 'body', o.EMAIL)} UNION ALL {_log_sql('phone', 'm', 't', o.PHONE)}")
 def pii_hash_log(spark, d):
-    rows = canonical.redact(canon(spark, d), "body", "text", salt="sale").select("doc_id", F.explode("pii_redaction_log").alias("e"))
+    rows = canonical.redact(canon(spark, d), "body", "text", salt="sale").select("doc_id", F.explode_outer("pii_redaction_log").alias("e")).filter("e is not null")  # an inner explode would infer a filter on the log's size, and run it twice
     return rows.select("doc_id", "e.type", F.get("e.position", F.lit(0)).cast("long").alias("start"), F.get("e.position", F.lit(1)).cast("long").alias("end"), "e.original_hash", "e.placeholder")
 
 
@@ -482,7 +483,7 @@ def eval_labels(spark, d):
 
 @query(_COUNTS + " SELECT round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 9) AS micro_f1, round(sum(2 * tp / (2 * tp + fp + fn)) / 2, 9) AS macro_f1, round(sum(fp + fn) / ((SELECT count(*) FROM labels) * 2), 9) AS hamming_loss FROM c")
 def eval_topics(spark, d):
-    n = spark.read.parquet(f"{d}/labels.parquet").count()
+    n = load(spark, d, "labels").count()
     out = evaluate.topics(*_sides(spark, d), n, 2)
     return out.select(*(F.round(c, 9).alias(c) for c in out.columns))
 

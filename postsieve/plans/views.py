@@ -6,6 +6,8 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from postsieve.sources.tables import load
+
 #: One mail per document; the sender is one of the first hundred customers.
 EMAILS = """
 SELECT d.doc_id,
@@ -97,6 +99,6 @@ def over(spark: SparkSession, sf_dir: str, sql: str, tables: tuple[str, ...] = T
     mark = hashlib.md5(sf_dir.encode()).hexdigest()[:10]
     for t in tables:
         if f"FROM {t} " in sql or f"JOIN {t} " in sql:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"postsieve_{mark}_{t}")
+            load(spark, sf_dir, t).createOrReplaceTempView(f"postsieve_{mark}_{t}")
             sql = sql.replace(f"FROM {t} ", f"FROM postsieve_{mark}_{t} ").replace(f"JOIN {t} ", f"JOIN postsieve_{mark}_{t} ")
     return spark.sql(sql)

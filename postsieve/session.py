@@ -9,8 +9,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Rows that go to a Python worker at once at most. Spark's default of 10000 rows of long texts takes hundreds of megabytes on either side.
+BATCH_ROWS = 512
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors' Python workers, once for each context; Spark fetches it anew on every executor that joins later."""
+    """Sends the package to the executors' Python workers, once for each context; Spark fetches it anew on every executor that joins later.
+
+    Also bounds the rows of a batch; a smaller bound that the session already has is kept.
+    """
+    if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_postsieve_shipped", False):
         return
