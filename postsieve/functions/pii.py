@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +50,15 @@ def salted_hash(value: Column, salt: str = "") -> Column:
     return F.concat(F.lit("sha256-"), F.sha2(F.concat(F.lit(salt), value).cast("binary"), 256))
 
 
+def hash_matches(value: Column, hashed: Column, salt: str = "") -> Column:
+    return salted_hash(value, salt) == hashed
+
+
+def new_salt(size: int = 32) -> str:
+    """A random salt of ``size`` bytes in hexadecimal; drawn on the driver, to be passed on as a parameter."""
+    return secrets.token_hex(size)
+
+
 def log_entries(text: Column, pattern: str, kind: str, level: str = "standard", salt: str = "") -> Column:
     """The log of what ``redacted`` replaces; positions are those in ``text``."""
     return F.transform(

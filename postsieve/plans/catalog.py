@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from postsieve.functions import pii, signals, terms, text
 from postsieve.operators import candidates, canonical, classify, dictionary, entities, evaluate
 from postsieve.plans import oracle as o
+from postsieve.plans import triage
 from postsieve.plans import views as v
 from postsieve.sources import lists
 from postsieve.sources.tables import load
@@ -329,6 +330,13 @@ def topic_filter(spark, d):
     return classify.confident(_adjusted(spark, d)).select("doc_id", "topic", "label_id")
 
 
+@query()
+def classify_offline(spark, d):
+    out = triage.classified(canon(spark, d))
+    labels = F.transform("topics", lambda t: F.concat_ws(":", t["label_id"], F.round(t["confidence_adjusted"], 6).cast("string")))
+    return out.select("doc_id", F.array_join(labels, ",").alias("topics"), F.col("sentiment.value").alias("sentiment"), F.col("priority.value").alias("priority"), F.col("customer_status.value").alias("customer_status"), "valid", F.size("errors").alias("n_errors"))
+
+
 # Dictionary
 
 
