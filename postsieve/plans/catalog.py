@@ -217,7 +217,7 @@ def _triaged(spark, d) -> DataFrame:
 def triage_topk(spark, d):
     top = candidates.extract(canon(spark, d)).filter("rank <= 10")
     urgency = _triaged(spark, d).select("doc_id", F.col("priority.value").alias("priority"))
-    return top.join(urgency, "doc_id").select("doc_id", "rank", "term", "source", "count", F.round("composite_score", 6).alias("score"), "priority")
+    return top.join(urgency, "doc_id").select("doc_id", F.col("rank").cast("long").alias("rank"), "term", "source", "count", F.round("composite_score", 6).alias("score"), "priority")
 
 
 # Status, deadlines, priority

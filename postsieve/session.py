@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: Rows that go to a Python worker at once at most. Spark's default of 10000 rows of long texts takes hundreds of megabytes on either side.
@@ -31,3 +32,19 @@ def ship(spark: SparkSession) -> None:
             z.write(f, Path("postsieve") / f.relative_to(here))
     sc.addPyFile(str(path))
     sc._postsieve_shipped = True
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
+
+    Only where the setting is missing (tests on one machine) a temporary folder takes its place.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/postsieve-checkpoints"
+    return f"{top.rstrip('/')}/postsieve/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Writes a table to the shared folder and reads it again: lineage ends in files that survive lost executors."""
+    path = work_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
