@@ -6,12 +6,11 @@ ignores the rest, so further columns may have any name.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from postsieve.session import ship
+from postsieve.session import ship, work_dir, written
+
+__all__ = ["BLANKS", "id_bytes", "id_remainder", "id_text", "table", "work_dir", "written"]
 
 #: Separators of words in every contract: space, tab, line feed, vertical tab, form feed, return.
 #: ``bytes.split()`` splits on exactly these, ``bytes.lower()`` lower-cases exactly A-Z.
@@ -36,22 +35,3 @@ def id_bytes(docs: DataFrame) -> DataFrame:
 def id_remainder(n: int) -> Column:
     """crc32 of the decimal id, modulo n; null for a null id."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
-
-
-def work_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the setting is missing (tests on one machine) a temporary folder takes its place.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = tempfile.gettempdir() + "/postsieve-checkpoints"
-    return f"{top.rstrip('/')}/postsieve/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: lineage ends in files that survive lost executors."""
-    spark = df.sparkSession
-    path = work_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
