@@ -21,8 +21,12 @@ _ID = "__stage_doc_id"
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows whose doc_id (null is an id of its own here) isn't dropped; only ids are shuffled against the rows."""
-    ids = dropped.select(F.col("doc_id").alias(_ID)).distinct()
+    """The rows whose doc_id (null is an id of its own here) isn't dropped.
+
+    The ids are written first, so that Spark knows their size before it plans the join: few ones are
+    broadcast under its threshold and the texts stay where they are, many are joined by a shuffle.
+    """
+    ids = written(dropped.select(F.col("doc_id").alias(_ID)).distinct())
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids[_ID]), "left_anti")
 
 
