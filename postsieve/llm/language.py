@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, written
 
 PROFILE = 400
 PER_LANGUAGE = 500
 UNKNOWN = "und"
+#: Parts of a language that are sampled each for itself before they meet.
+PARTS = 16
 
 
 @lru_cache(maxsize=1)
@@ -62,8 +64,12 @@ def fit_profiles(docs: DataFrame, lang: str = "lang", learn: Column | None = Non
     """
     rows = docs.filter(F.coalesce(learn, F.lit(False))) if learn is not None else docs
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and text is not null")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # a group limit runs before the shuffle
-    chosen = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_language).select("doc_id", F.col("lang").alias("of"))
+    # The least hashes of each language, first within parts of it, so that a language with most rows does not meet in one task.
+    ids = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)).alias("part"))
+    for keys in (("lang", "part"), ("lang",)):
+        first = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_language).drop("k")
+    chosen = written(ids.select("doc_id", F.col("lang").alias("of")))  # its size is known then: texts aren't shuffled for it
     sample = rows.join(chosen, (rows["doc_id"].eqNullSafe(chosen["doc_id"])) & (F.col("lang") == F.col("of")), "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
