@@ -39,8 +39,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
         enc, step = encoder(path), 4 * capacity
         for b in batches:
             doc, piece, length, crc = [], [], [], []
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = enc.ids(text or "") + end
+            for i, ids in zip(b.column("doc_id").to_pylist(), enc.all_ids([t or "" for t in b.column("text").to_pylist()]), strict=True):
+                ids += end
                 for k in range(0, len(ids), step):
                     part = ids[k : k + step]
                     doc.append(i)

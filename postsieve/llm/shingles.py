@@ -43,6 +43,7 @@ def shingle_set(h: np.ndarray, size: int) -> np.ndarray:
 
 
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD[1])
+_EXACT = _BYTE.copy()
 _BYTE[0x41:0x5B] = _BYTE[0x61:0x7B]
 
 
@@ -70,6 +71,14 @@ def hashed_words(raws: Iterable[bytes | None]) -> Iterator[tuple[np.ndarray, np.
         yield from _hashed(held)
 
 
+def hashed_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes, upper and lower case apart."""
+    n = 1 << max(CHUNK.bit_length(), len(raw).bit_length())
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_EXACT[raw] * _powers(_BASE, n)[: len(raw)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * _powers(_UNBASE, n)[starts] + (ends - starts).astype(np.uint64))
+
+
 def _hashed(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     n = 1 << max(CHUNK.bit_length(), len(raw).bit_length())

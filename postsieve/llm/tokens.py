@@ -1,47 +1,48 @@
 """Token counts and token ids by a two-tier table of pre-tokens.
 
 A byte-pair tokenizer treats each pre-token on its own, so a text's ids are those of its pre-tokens
-in order. Texts are cut at blanks into units of one or a few whole pre-tokens. A compact table of
-frequent units is learned from a bounded sample and broadcast; a unit that it lacks is split by the
-tokenizer's pattern, and what a worker has not met before is encoded by the library and then held
-in caches of bounded size. No pre-token is ever shuffled.
-
-The short cut covers texts of printable Latin characters, blanks and line feeds in which no blank
-touches another one, and without the tokenizer's special strings; there cutting at blanks never
-cuts a pre-token. All other texts go to the library whole. Results are the library's either way.
+in order. Pre-tokens of many texts are found at once, as runs of bytes of one kind, and named by
+64-bit hashes. A compact table of the lengths of frequent ones is learned from a bounded sample and
+broadcast; one that it lacks is encoded by the library when a worker first meets it and then held in a
+cache of bounded size. No pre-token is ever shuffled.
+
+The short cut covers texts of printable ASCII, Latin letters, single blanks and line feeds, without
+apostrophes (which may join letters to a pre-token) and without the tokenizer's special strings. All
+other texts go to the library whole. Results are the library's either way.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text
+from .shingles import hashed_spans
 
-#: The split patterns that the tokenizer files state.
-BYTE_SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
-#: Documents that the table of frequent units is learned from, and its entries. They alter speed alone.
+#: Documents that the table of frequent pre-tokens is learned from, and its entries. They alter speed alone.
 SAMPLE_DOCS = 1000
 TABLE_SIZE = 50_000
-#: Units and pre-tokens that a worker's caches hold at most (they are emptied beyond that), and their length.
-CACHED_UNITS, CACHED_PIECES, CACHED_CHARS = 1_000_000, 500_000, 48
+#: Pre-tokens that a worker's cache holds at most (it is emptied beyond that), the characters of the longest, and bytes handled at once.
+CACHED, CACHED_CHARS, AT_ONCE = 600_000, 48, 1 << 19
 
-_ODD = re.compile("[^\n\x20-\x7e\xa1\xa4-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
+_SPACED = np.uint64(0x5851F42D4C957F2D)
+_ODD = re.compile("[^\n\x20-\x26\x28-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u024f]")
+#: Kinds of bytes: blank, line feed, letter, digit, other.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[0x20], _KIND[0x0A] = 0, 1
+_KIND[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")], _KIND[list(b"0123456789")] = 2, 3
+_KIND[0x80:] = 2
 
 
 class Encoder:
-    """A tokenizer file with caches. ``word`` is set for a file that lower-cases and drops blanks."""
+    """A tokenizer file with a cache. ``word`` is set for a file that lower-cases and drops blanks."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -50,71 +51,122 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.word = bool(spec.get("normalizer"))
-        self.split = regex.compile(WORD_SPLIT if self.word else BYTE_SPLIT).findall
         self.special = [x["content"] for x in spec.get("added_tokens") or []]
-        self.table: dict[str, int] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.ids_of, self.count_of = _Cache(self._unit), _Cache(self._unit_length)
+        self.table: dict[int, int] = {}
+        self.cache: dict[int, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def units(self, text: str) -> list[str] | None:
-        """The text cut at blanks, or None if the library must take it whole."""
+    def plain(self, text: str) -> bool:
+        """Whether the text's pre-tokens are its runs of one kind."""
         if _ODD.search(text) or any(s in text for s in self.special):
-            return None
-        if self.word:
-            return text.split()
-        return None if "  " in text or " \n" in text or "\n " in text else text.split(" ")
-
-    def _unit(self, unit: str) -> bytes:
-        parts = self.split(unit.lower() if self.word else f" {unit}")
-        return b"".join([self.pieces[p] if p in self.pieces else self._piece(p) for p in parts])
-
-    def _unit_length(self, unit: str) -> int:
-        known = self.table.get(unit)
-        return len(self._unit(unit)) // 4 if known is None else known
-
-    def _piece(self, piece: str) -> bytes:
-        got = self.whole(piece)
-        if len(piece) <= CACHED_CHARS:
-            if len(self.pieces) >= CACHED_PIECES:
-                self.pieces.clear()
-            self.pieces[piece] = got
-        return got
-
-    def count(self, text: str) -> int:
-        units = self.units(text)
-        if units is None or len(text) < 2:
-            return len(self.whole(text)) // 4
+            return False
+        return self.word or not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] == " " or text[-1:] == " ")
+
+    def cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of plain texts; starts, ends and hashes of their pre-tokens, whether a blank belongs to each; where each text's begin and end."""
+        parts = [t.encode() for t in texts]
+        raw = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
+        kind = _KIND[raw]
+        turn = np.concatenate(([True], kind[1:] != kind[:-1])) | (kind == 1)
         if self.word:
-            return sum(map(self.count_of.__getitem__, units))
-        return len(self.whole(units[0])) // 4 + sum(map(self.count_of.__getitem__, units[1:]))
-
-    def ids(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        units = self.units(text)
-        if units is None or len(text) < 2:
-            return self.whole(text)
-        if self.word:
-            return b"".join(map(self.ids_of.__getitem__, units))
-        return self.whole(units[0]) + b"".join(map(self.ids_of.__getitem__, units[1:]))
-
-
-class _Cache(dict):
-    """Computes what it lacks; short keys without a line feed are kept."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        got = self.make(key)
-        if len(key) <= CACHED_CHARS and "\n" not in key:
-            if len(self) >= CACHED_UNITS:
-                self.clear()
-            self[key] = got
-        return got
+            turn |= kind == 3  # digits stand alone
+        starts = np.flatnonzero(turn)
+        ends = np.concatenate((starts[1:], [len(raw)]))
+        real = kind[starts] > int(self.word)
+        starts, ends = starts[real], ends[real]
+        hashes = hashed_spans(raw, starts, ends)
+        bounds = np.searchsorted(starts, np.cumsum([0, *(len(p) + 1 for p in parts)]))
+        spaced = np.zeros(len(starts), bool)
+        if not self.word:
+            spaced = (starts > 0) & (raw[starts - 1] == 0x20)
+            spaced[bounds[:-1]] = False  # the blank before a text's first one parts texts
+            hashes[spaced] ^= _SPACED
+        return raw, starts, ends, hashes, spaced, bounds
+
+    def _known(self, texts: list[str], table: dict[int, int]) -> tuple[list, np.ndarray, np.ndarray]:
+        """For each distinct pre-token of plain texts its length if it is in the table, else its ids; which it is at each place; the bounds of texts."""
+        raw, starts, ends, hashes, spaced, bounds = self.cut(texts)
+        distinct, place, which = np.unique(hashes, return_index=True, return_inverse=True)
+        cache, keys = self.cache, distinct.tolist()
+        found = [table[k] if k in table else cache.get(k) for k in keys] if table else list(map(cache.get, keys))
+        if len(cache) > CACHED:
+            cache.clear()
+        new = [i for i, x in enumerate(found) if x is None]
+        for blank in (False, True):
+            mine = [i for i in new if spaced[place[i]] == blank]
+            spans = [raw[starts[place[i]] : ends[place[i]]].tobytes().decode() for i in mine]
+            for i, span, ids in zip(mine, spans, self._pieces(spans, blank), strict=True):
+                found[i] = ids
+                if len(span) <= CACHED_CHARS:
+                    cache[keys[i]] = ids
+        return found, which, bounds
+
+    def _pieces(self, spans: list[str], blank: bool) -> list[bytes]:
+        """The ids of pre-tokens, all with a blank before them or none: joined so that they stay apart, encoded at once and told by their number."""
+        if not spans:
+            return []
+        if blank:
+            joined, step = "".join(f" {x}" for x in spans), 1
+        elif self.word:
+            joined, step = " ".join(spans), 1
+        elif "\n" not in spans:
+            joined, step = "\n".join(spans), 2  # every second one is the line feed
+        else:
+            rest = self._pieces([x for x in spans if x != "\n"], blank)
+            at = iter(rest)
+            return [self.whole(x) if x == "\n" else next(at) for x in spans]
+        got = self.tokenizer.encode(joined, add_special_tokens=False)
+        number = np.array(got.word_ids, np.int64)
+        if not len(number) or number[-1] != step * (len(spans) - 1) or (np.diff(number) < 0).any():
+            return [self.whole(" " * int(blank) + x) for x in spans]
+        ids = np.array(got.ids, "<u4")
+        cuts = np.searchsorted(number, np.arange(0, step * len(spans) + 1))
+        return [ids[cuts[step * i] : cuts[step * i + 1]].tobytes() for i in range(len(spans))]
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """The number of tokens of each text."""
+        def made(group: list[str]) -> Iterator[int]:
+            found, which, bounds = self._known(group, self.table)
+            lengths = np.array([x if isinstance(x, int) else len(x) // 4 for x in found], np.int64)
+            sums = np.concatenate(([0], np.cumsum(lengths[which])))
+            return iter((sums[bounds[1:]] - sums[bounds[:-1]]).tolist())
+
+        return self._each(texts, made, lambda t: len(self.whole(t)) // 4)
+
+    def all_ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        def made(group: list[str]) -> Iterator[bytes]:
+            ids, which, bounds = self._known(group, {})
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            flat, at = np.frombuffer(b"".join(ids), "<u4"), np.concatenate(([0], np.cumsum(sizes)))[:-1]
+            n = sizes[which]
+            ends = np.cumsum(n)
+            out = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[which] - ends + n, n)]
+            sums = np.concatenate(([0], ends))
+            return (out[sums[a] : sums[b]].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+
+        return self._each(texts, made, self.whole)
+
+    def _each(self, texts: list[str], made, alone) -> list:
+        """Results in order: plain texts in groups of about ``AT_ONCE`` characters by ``made``, others by ``alone``."""
+        out: list = [None] * len(texts)
+        group, size = [], 0
+        for i, t in enumerate(texts):
+            if t and self.plain(t):
+                group.append(i)
+                size += len(t)
+                if size >= AT_ONCE:
+                    for k, x in zip(group, made([texts[k] for k in group]), strict=True):
+                        out[k] = x
+                    group, size = [], 0
+            else:
+                out[i] = alone(t)
+        if group:
+            for k, x in zip(group, made([texts[k] for k in group]), strict=True):
+                out[k] = x
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -123,28 +175,28 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def frequent_lengths(docs: DataFrame, path: str, sample: int = SAMPLE_DOCS, entries: int = TABLE_SIZE) -> dict[str, int]:
-    """Token lengths of the most frequent units of at most ``sample`` documents, taken by a hash of the id.
+def frequent_lengths(docs: DataFrame, path: str, sample: int = SAMPLE_DOCS, entries: int = TABLE_SIZE) -> dict[int, int]:
+    """Token lengths of the most frequent pre-tokens, by hash, of at most ``sample`` documents, taken by a hash of the id.
 
-    The driver receives ``sample`` ids and ``entries`` rows of ``CACHED_CHARS`` characters at most.
+    The driver receives ``sample`` ids and ``entries`` pairs of integers at most.
     """
     chosen = id_text(docs).select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     ids = [r[0] for r in chosen.collect()]
     if not ids:
         return {}
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            seen = Counter()
-            for text in b.column(0).to_pylist():
-                seen.update(u for u in (enc.units(text or "") or [])[1:] if len(u) <= CACHED_CHARS)
-            yield pa.record_batch({"unit": pa.array(list(seen.keys()), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+            texts = [t for t in b.column(0).to_pylist() if t and enc.plain(t)]
+            if texts:
+                ids, which, _ = enc._known(texts, {})
+                hashes = np.unique(enc.cut(texts)[3])
+                yield pa.record_batch({"h": pa.array(hashes.view(np.int64)), "tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "n": pa.array(np.bincount(which, minlength=len(hashes)))})
 
     texts = id_text(docs).filter(F.col("doc_id").isin(ids)).select("text")
-    top = texts.mapInArrow(cut, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(entries)
-    enc = Encoder(path)
-    return {r.unit: len(enc._unit(r.unit)) // 4 for r in top.collect()}
+    top = texts.mapInArrow(count, "h long, tokens long, n long").groupBy("h").agg(F.sum("n").alias("n"), F.max("tokens").alias("tokens")).orderBy(F.desc("n"), "h").limit(entries)
+    return {r.h % (1 << 64): r.tokens for r in top.collect()}
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
@@ -160,7 +212,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
         enc.table = frequent.value
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "n_tokens": pa.array([enc.count(t) for t in texts], pa.int64()), "n_bytes": pa.array([_bytes(t) for t in texts], pa.int64())})
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "n_tokens": pa.array(enc.counts(texts), pa.int64()), "n_bytes": pa.array([_bytes(t) for t in texts], pa.int64())})
 
     counted = id_text(docs).mapInArrow(count, "doc_id long, n_tokens long, n_bytes long")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
