@@ -136,6 +136,37 @@ def test_benchmark_in_parts(spark, docs, monkeypatch):
     assert sorted(map(tuple, matched(spark, docs, rows, items))) == whole and len(whole) == 12
 
 
+def test_verbatim_passages_among_repeated_and_short_words():
+    rng = random.Random(11)
+    short = "a bo ci da e fu ga ho il la mi no".split()
+    items = [prose(rng, rng.randrange(8, 60)) for _ in range(60)] + [" ".join(rng.choice(short) for _ in range(rng.randrange(3, 40))) for _ in range(20)]
+    index = d.Index([(i, t.encode()) for i, t in enumerate(items)], 5)
+    rows = []
+    for item in items:
+        for before, after in (("notte", "notte"), (item.split()[0], item.split()[-1]), ("una lunga", "a b")):
+            n = rng.randrange(3, 40)
+            rows.append(f"{' '.join([before] * n)} {item} {' '.join([after] * rng.randrange(3, 40))}".encode())
+    got = {(row, item.id): score for row, item, _, _, _, score in d._scan(rows, index, 0.8)}
+    assert [r for r in range(len(rows)) if got.get((r, r // 3)) != 1.0] == []
+
+
+def test_sweep_equals_all_passages():
+    rng = random.Random(12)
+    for _ in range(60):
+        words = rng.sample("alba borgo il la notte monte uno x yy fiume sasso torre".split(), rng.randrange(2, 12))
+        item = " ".join(rng.choice(words) for _ in range(rng.randrange(2, 25)))
+        edited = [w for w in item.split() for w in ([w] if rng.random() > 0.06 else rng.choice([[], ["zz"], [w, w]]))]
+        text = " ".join([rng.choice(words)] * rng.randrange(9) + edited + [rng.choice(words)] * rng.randrange(9))
+        w, k = text.split(), min(5, len(item.split()))
+        run = lambda x: {tuple(x[i : i + k]) for i in range(len(x) - k + 1)}
+        weigh = lambda s: sum(len(x) for g in s for x in g)
+        want = run(item.split())
+        every = [run(w[a:b]) for a in range(len(w)) for b in range(a + k, len(w) + 1)]
+        best = max((weigh(x & want) / weigh(x | want) for x in every), default=0)
+        got = [(score, n) for _, _, _, n, _, score in d._scan([text.encode()], d.Index([(1, item.encode())], 5), 0.8)]
+        assert [s for s, _ in got] == pytest.approx([best] if best >= 0.8 else []), (text, item)
+
+
 # Secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
