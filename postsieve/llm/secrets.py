@@ -8,8 +8,10 @@ Strong kinds (reported wherever they stand):
 
 Weak kinds are ordinary-looking strings by themselves:
 
-* ``wkey``: 40 characters of the base-64 alphabet, standing alone, with a digit, an upper- and a lower-case letter;
-* ``endp``: the address of a service (``https://host...`` or ``host:port``).
+* ``wkey``: 40 characters of the base-64 alphabet, standing alone, with a digit, an upper- and a lower-case letter
+  (assignment signs, quotes, full stops and the like may stand next to them; ``-`` and ``_`` only if they don't join them to more);
+* ``endp``: the address of a service: ``http(s)://host...``, or ``host:port`` with a name of DNS lengths, an IPv4 or a bracketed IPv6 address and a
+  port of two to five digits.
 
 A weak span is reported only if a complementary part stands within ``scope`` characters: a
 ``wkey`` near an ``access`` span or an ``endp``, an ``endp`` near an ``access`` span or a ``wkey``. The link is an interval join, run as a sweep in position order over
@@ -32,8 +34,14 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
 #: Patterns of the weak kinds.
-WKEY = r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_.-])"
-ENDP = r"https?://[A-Za-z0-9.-]+(?::[0-9]{2,5})?(?:/[A-Za-z0-9._~/-]*)?"
+WKEY = r"(?<![A-Za-z0-9+/]|[A-Za-z0-9+/][_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/]|[_-]+[A-Za-z0-9+/])"
+_NAME = r"(?:[A-Za-z0-9_-]{1,63}\.){0,126}[A-Za-z][A-Za-z0-9_-]{0,62}"
+ENDP = (
+    r"https?://[A-Za-z0-9.-]+(?::[0-9]{2,5})?(?:/[A-Za-z0-9._~/-]*)?"
+    rf"|(?<![A-Za-z0-9_.-])(?:{_NAME}|[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}|\[[0-9A-Fa-f:.]{{2,45}}\]):[0-9]{{2,5}}(?!:?[A-Za-z0-9_@])"
+)
+#: Holds in every text that ENDP matches in.
+ENDP_GATE = r"https?://|[A-Za-z0-9_\]-]:[0-9]{2}"
 
 SCOPE = 200
 KINDS = ("assign", "access", "hex", "wkey", "endp")
@@ -67,7 +75,7 @@ def find_parts(docs: DataFrame) -> DataFrame:
     texts = id_text(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     gated = texts.withColumns({
         "has_assign": F.col("t").rlike("(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]"),
-        "has_access": F.col("t").rlike(ACCESS), "has_hex": F.col("t").rlike(HEX), "has_endp": F.col("t").contains("://"),
+        "has_access": F.col("t").rlike(ACCESS), "has_hex": F.col("t").rlike(HEX), "has_endp": F.col("t").rlike(ENDP_GATE),
     })
     long_enough = lambda found: F.transform(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)), lambda x: F.length(x) >= ASSIGN_LEAST)
     mixed = lambda found: F.transform(found, lambda x: x.rlike("[0-9]") & x.rlike("[A-Z]") & x.rlike("[a-z]"))
