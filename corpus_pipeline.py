@@ -17,38 +17,60 @@ from postsieve.llm.near_dedup import near_dedup
 from postsieve.llm.packing import pack
 from postsieve.llm.queries import tokenizer_path
 
-_ID = "__stage_doc_id"
+_ROW = "__stage_row"
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows whose doc_id (null is an id of its own here) isn't dropped.
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows, written with a key of their own, and the same with that key as doc_id, for the operators.
 
-    The ids are written first, so that Spark knows their size before it plans the join: few ones are
+    Stages decide by row: ids may be null or repeated.
+    """
+    rows = written(docs.withColumn(_ROW, F.monotonically_increasing_id()))
+    return rows, rows.withColumn("doc_id", F.col(_ROW))
+
+
+def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows whose key isn't dropped (as doc_id).
+
+    The keys are written first, so that Spark knows their size before it plans the join: few ones are
     broadcast under its threshold and the texts stay where they are, many are joined by a shuffle.
     """
-    ids = written(dropped.select(F.col("doc_id").alias(_ID)).distinct())
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids[_ID]), "left_anti")
+    keys = written(dropped.select(F.col("doc_id").alias(_ROW)).distinct())
+    return rows.join(keys, _ROW, "left_anti").select(*(c for c in rows.columns if c != _ROW))
+
+
+def _all_but_least(rows: DataFrame, told: DataFrame, group: str) -> DataFrame:
+    """Of each group the keys of all rows but the one with the least doc_id (null after all others, equal ones by key)."""
+    members = written(told.select("doc_id", F.col(group).alias("of")))
+    ids = rows.select(F.col(_ROW).alias("doc_id"), F.col("doc_id").cast("long").alias("id"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")).alias("least")
+    kept = members.join(ids, "doc_id").groupBy("of").agg(least).select(F.col("least.doc_id").alias("doc_id"))
+    return members.join(kept, "doc_id", "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which no language can be told (null texts and texts without letters)."""
-    predicted = identify_language(docs, fit_profiles(docs))
-    return _without(docs, predicted.filter(F.col("lang_pred") == UNKNOWN))
+    rows, keyed = _keyed(docs)
+    predicted = identify_language(keyed, fit_profiles(rows))
+    return _without(rows, predicted.filter(F.col("lang_pred") == UNKNOWN))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of equal texts."""
-    return _without(docs, exact_dedup(docs).filter(~F.col("kept")))
+    """Keeps one row of equal texts, that of the least doc_id."""
+    rows, keyed = _keyed(docs)
+    return _without(rows, _all_but_least(rows, exact_dedup(keyed), "keep_id"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates (five words, 0.8)."""
-    return _without(docs, near_dedup(docs, words=5, percent=80).filter(~F.col("kept")))
+    """Keeps one row of each group of near duplicates (five words, 0.8), that of the least doc_id."""
+    rows, keyed = _keyed(docs)
+    return _without(rows, _all_but_least(rows, near_dedup(keyed, words=5, percent=80), "component_id"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
-    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")))
+    """Drops rows that hold a passage of the benchmark."""
+    rows, keyed = _keyed(docs)
+    return _without(rows, decontaminate(keyed, table(spark, sf_dir, "benchmark")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,20 @@ def test_stages(spark, docs, folder):
     assert {r.doc_id for r in p.STAGES[-1][1](spark, table, where).collect()} == {1, 5, 9, None}
 
 
+def test_stages_decide_by_row(spark, docs, folder):
+    rng = random.Random(2)
+    leak = prose(rng, 40)
+    copied, base, clean = prose(rng, 60), prose(rng, 200), [prose(rng, 70) for _ in range(4)]
+    near = base.replace(base.split()[100], "diverso", 1)
+    null = [(None, x, "it") for x in (clean[0], None, copied, near, f"{prose(rng, 50)} {leak}", clean[1])]
+    rows = null + [(3, copied, "it"), (3, copied, "it"), (4, base, "it"), (5, clean[2], "it"), (5, "123", "it"), (5, copied, "it"), (5, f"{leak} {prose(rng, 50)}", "it"), (5, clean[3], "it")]
+    where, table = folder([(1, leak)]), docs(rows)
+    for _, stage in p.STAGES[:-1]:
+        table = p.written(stage(spark, table, where))
+    got = sorted(((r.doc_id, r.text) for r in table.collect()), key=str)
+    assert got == sorted([(None, clean[0]), (None, clean[1]), (3, copied), (4, base), (5, clean[2]), (5, clean[3])], key=str)
+
+
 def test_stages_on_no_rows(spark, docs, folder):
     where, table = folder([]), docs([]).filter("false")
     for _, stage in p.STAGES:
