@@ -18,6 +18,8 @@ from postsieve.llm.packing import pack
 from postsieve.llm.queries import tokenizer_path
 
 _ROW = "__stage_row"
+#: The one profile where no row has a label: it takes all texts with letters. No text holds the n-gram 0.
+_ANY = {"=": [0]}
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -51,7 +53,8 @@ def _all_but_least(rows: DataFrame, told: DataFrame, group: str) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which no language can be told (null texts and texts without letters)."""
     rows, keyed = _keyed(docs)
-    predicted = identify_language(keyed, fit_profiles(rows))
+    named = {f"={name}": grams for name, grams in fit_profiles(rows).items()}  # no label reads as UNKNOWN then
+    predicted = identify_language(keyed, named or _ANY)
     return _without(rows, predicted.filter(F.col("lang_pred") == UNKNOWN))
 
 

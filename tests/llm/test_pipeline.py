@@ -52,6 +52,12 @@ def test_stages_decide_by_row(spark, docs, folder):
     assert got == sorted([(None, clean[0]), (None, clean[1]), (3, copied), (4, base), (5, clean[2]), (5, clean[3])], key=str)
 
 
+@pytest.mark.parametrize("lang", [None, "und"])
+def test_language_stage_without_known_labels(spark, docs, lang):
+    rows = [(1, prose(random.Random(3), 30), lang), (2, "è", lang), (3, None, lang), (4, "123 !", lang), (5, "", lang), (None, "a", lang)]
+    assert sorted((r.doc_id for r in p.language_id(spark, docs(rows), "").collect()), key=str) == [1, 2, None]
+
+
 def test_stages_on_no_rows(spark, docs, folder):
     where, table = folder([]), docs([]).filter("false")
     for _, stage in p.STAGES:
