@@ -112,19 +112,22 @@ class Index:
         lines: dict[int, list[int]] = defaultdict(list)
         for value, place in zip(grams[hit].tolist(), at[hit].tolist(), strict=True):
             for t, j in self.places[value]:
-                lines[t].append(place - j)
+                lines[t].append((place - j, place))
         found = set()
         for t, starts in lines.items():
             name, template = self.templates[t]
-            last = None
-            for line in sorted(set(starts)):
-                if last is not None and line - last <= BAND:
-                    continue
-                last = line
-                lo = max(0, line - BAND)
-                region = h[lo : line + len(template) + BAND]
-                n, a, b = align(region, template, line - lo)
-                if a >= 0 and n >= coverage * len(template):
+            covered = np.zeros(len(h), bool)
+            tried = None
+            for line, place in sorted(set(starts)):
+                while not covered[place] and tried != (line, int(covered.sum())):  # words of a match belong to no other one
+                    tried = line, int(covered.sum())
+                    lo, hi = max(0, line - BAND), min(len(h), line + len(template) + BAND)
+                    before, after = np.flatnonzero(covered[lo:place]), np.flatnonzero(covered[place:hi])
+                    lo, hi = lo + int(before[-1]) + 1 if len(before) else lo, place + int(after[0]) if len(after) else hi
+                    n, a, b = align(h[lo:hi], template, line - lo)
+                    if a < 0 or n < coverage * len(template):
+                        break
+                    covered[lo + a : lo + b] = True
                     found.add((lo + a, lo + b, n, n / len(template), name))
         return sorted(found)
 

@@ -278,6 +278,15 @@ def test_licenses(docs):
     assert licenses.scan_licenses(docs([]).filter("false")).count() == 0
 
 
+def test_each_of_adjacent_notices_is_told():
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            h = next(iter(hashed_words([" ".join([text] * 4).encode().translate(licenses._PLAIN)])))[0]
+            got = [(a, b) for a, b, _, _, x in licenses.Index({name: [text]}).find(h, 0.8)]
+            n = len(h) // 4
+            assert got == [(i * n, i * n + n) for i in range(4)], text
+
+
 def longest_common(a, b):
     rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a)):
