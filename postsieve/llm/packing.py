@@ -1,19 +1,21 @@
 """Best-fit packing of token pieces into sequences, with certified bin counts.
 
-Documents are tokenised where they are read; only lengths travel. Pieces are dealt at random into
+Documents are tokenised where they are read; only lengths travel. Pieces are dealt by a hash of what they hold into
 partitions of a bounded number of pieces, each packed by best-fit decreasing. Dual feasible
 functions give a lower bound on the bins that a set of lengths needs: a partition whose count
 equals its bound is certified. While the whole count is above the bound of all pieces together,
-partitions exchange: each gives up its emptiest bins (more of them the wider its gap), the bins
+partitions exchange: each gives up its emptiest bins (more of them the wider its gap) and closes the others, the bins
 given up by neighbouring partitions meet in one group, and best-fit decreasing runs again on their
 pieces; a group that does not improve keeps its old bins. Each round merges ``fan`` partitions, so
-rounds grow with the logarithm of the partitions, and what a partition gives up is bounded.
+rounds grow with the logarithm of the partitions and what travels shrinks with each. If a gap is left when all have met, the
+emptiest bins of all are packed once more in ever larger groups of bounded size.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +28,12 @@ from .tokens import encoder
 CAPACITY = 2048
 #: Pieces in a partition, partitions that meet in an exchange, bins that a partition gives up at least.
 PART_PIECES, FAN, LOOSE = 20_000, 8, 4
+#: Copies of one row that are dealt together at most; the emptiest bins of all that meet at the end, in turn, where a gap is left.
+COPIES, WIDER = 256, (256, 1024, 4096)
 
+KEYS = ("doc_id", "piece", "start", "length", "ids_crc32")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", part long, sequence_id long, offset long"
+PACKED = PIECES + ", part long, sequence_id long, offset long, open boolean"
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -39,8 +44,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
         enc, step = encoder(path), 4 * capacity
         for b in batches:
             doc, piece, length, crc = [], [], [], []
-            for i, ids in zip(b.column("doc_id").to_pylist(), enc.all_ids([t or "" for t in b.column("text").to_pylist()]), strict=True):
-                ids += end
+            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                ids = enc.text_ids(text or "") + end
                 for k in range(0, len(ids), step):
                     part = ids[k : k + step]
                     doc.append(i)
@@ -98,18 +103,35 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, n
 
 
-def _pack(t: pa.Table, capacity: int, level: int, old: bool) -> pa.Table:
-    """Packs a group's pieces; with ``old``, keeps their present bins unless fewer are found."""
-    t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
-    bins, offsets, n = best_fit(t.column("length").to_numpy(), capacity)
-    if old and n >= len(set(t.column("sequence_id").to_pylist())):
-        return t.select([f.split()[0] for f in PACKED.split(", ")])
-    part = t.column("part").to_numpy()
-    base = level << 56 | int(part[0]) << 24
-    for name, values in (("sequence_id", base + bins), ("offset", offsets)):
-        t = t.drop_columns([name]) if name in t.column_names else t
-        t = t.append_column(name, pa.array(values, pa.int64()))
-    return t.select([f.split()[0] for f in PACKED.split(", ")])
+def _pack(t: pa.Table, capacity: int, level: int) -> pa.Table:
+    """Packs a group's pieces (``copies`` of each), or keeps their present bins unless fewer are found; ``open`` marks the emptiest bins, more of them the wider the gap to the group's bound."""
+    if level:
+        old = t.column("sequence_id").to_numpy()
+    else:
+        t = t.take(pa.array(np.repeat(np.arange(t.num_rows), t.column("copies").to_numpy()))).drop_columns(["copies"])
+        old = np.arange(t.num_rows)
+    order = t.select([*KEYS]).append_column("at", pa.array(np.arange(t.num_rows))).sort_by([("length", "descending"), *((k, "ascending") for k in KEYS if k != "length"), ("at", "ascending")]).column("at")
+    t, old = t.take(order), old[order.to_numpy()]
+    lengths = t.column("length").to_numpy()
+    bins, offsets, n = best_fit(lengths, capacity)
+    names, was = np.unique(old, return_inverse=True)
+    if level and n >= len(names):
+        bins, offsets, n = was, t.column("offset").to_numpy(), len(names)
+    else:
+        names = (level << 56 | t.column("part")[0].as_py() << 24) + np.arange(n)
+    load = np.bincount(bins, weights=lengths, minlength=n)
+    gap = n - lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+    emptiest = np.lexsort((names, load))[: LOOSE + 4 * gap]
+    loose = np.zeros(n, bool)
+    loose[emptiest[load[emptiest] < capacity]] = True
+    out = t.select([*KEYS, "part"])
+    for name, values in (("sequence_id", names[bins]), ("offset", offsets), ("open", loose[bins])):
+        out = out.append_column(name, pa.array(values))
+    return out
+
+
+def _packer(capacity: int, level: int) -> Callable[[pa.Table], pa.Table]:
+    return lambda t: _pack(t, capacity, level)
 
 
 def _bound(rows: DataFrame, capacity: int) -> int:
@@ -120,45 +142,55 @@ def _bound(rows: DataFrame, capacity: int) -> int:
     return lower_bound(counts, capacity)
 
 
+def _bins(packed: DataFrame) -> int:
+    return packed.filter("offset = 0").count()
+
+
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, part_pieces: int = PART_PIECES, fan: int = FAN) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, sequences, least_sequences.
 
-    A null text counts as empty: one piece that holds the end id. Rows with a null doc_id and repeated
-    rows are packed each for itself. Ties go by length, doc_id, piece and checksum, so equal inputs
-    give equal packings. No rows in, no rows out.
+    ``sequences`` is the number of all sequences and ``least_sequences`` a certified bound that no packing can go below: equal
+    ones prove that there is no better. A null text counts as empty: one piece that holds the end id. Rows with a null doc_id and
+    repeated rows are packed each for itself. Pieces are dealt and ordered by what they hold alone, so equal inputs give equal
+    packings however they are partitioned. No rows in, no rows out.
     """
     pieces = written(token_pieces(docs, path, capacity))
-    total = pieces.count()
+    total, bound = pieces.count(), _bound(pieces, capacity)
     parts = max(1, -(-total // part_pieces))
-    # The hash of the row deals pieces evenly, whatever the ids; equal rows of a repeated document go together, a few at most per piece number.
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id() % 64), F.lit(parts)))
-    packed = written(dealt.groupBy("part").applyInArrow(lambda t: _pack(t, capacity, 0, False), PACKED))
-    bound, level = _bound(pieces, capacity), 0
-    while parts > 1 and packed.select("sequence_id").distinct().count() > bound:
-        level += 1
-        packed, parts = written(_exchange(packed, capacity, level, fan)), -(-parts // fan)
-    return packed.drop("part")
-
-
-def _exchange(packed: DataFrame, capacity: int, level: int, fan: int) -> DataFrame:
-    """One round: each partition's emptiest bins are dealt to the group of ``fan`` partitions that it belongs to."""
-    from pyspark.sql import Window
-
-    bins = packed.groupBy("part", "sequence_id").agg(F.sum("length").alias("load"))
-
-    def gaps(t: pa.Table) -> pa.Table:
-        counts = np.bincount(t.column("length").to_numpy(), weights=t.column("n").to_numpy(), minlength=capacity + 1).astype(np.int64)
-        return pa.table({"part": t.column("part").slice(0, 1), "least": pa.array([lower_bound(counts, capacity)], pa.int64())})
-
-    least = packed.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")).groupBy("part").applyInArrow(gaps, "part long, least long")
-    used = bins.groupBy("part").agg(F.count(F.lit(1)).alias("bins"))
-    gap = used.join(least, "part").select("part", (F.col("bins") - F.col("least")).alias("gap"))
-    emptiest = Window.partitionBy("part").orderBy("load", "sequence_id")
-    loose = (
-        bins.filter(F.col("load") < capacity).withColumn("k", F.row_number().over(emptiest)).join(gap, "part")
-        .filter(F.col("k") <= LOOSE + 4 * F.col("gap")).select(F.col("sequence_id").alias("given"))
+    # Equal rows, however many, are counted, and dealt in chunks of up to COPIES; they become rows again where they are packed.
+    equal = pieces.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).select(*KEYS, "n", F.explode(F.expr(f"sequence(0, (n - 1) div {COPIES})")).alias("chunk"))
+    dealt = equal.select(
+        *KEYS, F.least(F.lit(COPIES), F.col("n") - F.col("chunk") * COPIES).alias("copies"),
+        F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "chunk"), F.lit(parts)).alias("part"),
     )
-    marked = packed.join(loose, F.col("sequence_id") == F.col("given"), "left").withColumn("part", F.floor(F.col("part") / fan))
-    kept = marked.filter("given is null").drop("given")
-    again = marked.filter("given is not null").drop("given").groupBy("part").applyInArrow(lambda t: _pack(t, capacity, level, True), PACKED)
-    return kept.unionByName(again)
+    packed = written(dealt.groupBy("part").applyInArrow(_packer(capacity, 0), PACKED))
+    closed, level = [], 0
+    while parts > 1 and sum(_bins(c) for c in closed) + _bins(packed) > bound:
+        level, parts = level + 1, -(-parts // fan)
+        closed.append(packed.filter("not open"))
+        again = packed.filter("open").withColumn("part", F.floor(F.col("part") / fan))
+        packed = written(again.groupBy("part").applyInArrow(_packer(capacity, level), PACKED))
+    packed = reduce(DataFrame.unionByName, closed, packed)
+    bins = _bins(packed)
+    for most in WIDER:
+        if bins <= bound:
+            break
+        level += 1
+        wider = _reopened(packed, capacity, level, most)
+        if (fewer := _bins(wider)) < bins:
+            packed, bins = wider, fewer
+    return packed.drop("part", "open").withColumns({"sequences": F.lit(bins).cast("long"), "least_sequences": F.lit(bound).cast("long")})
+
+
+def _reopened(packed: DataFrame, capacity: int, level: int, most: int) -> DataFrame:
+    """Packs the ``most`` emptiest bins of all anew, in one group of bounded size."""
+    loads = written(packed.groupBy("sequence_id").agg(F.sum("length").alias("load")).filter(F.col("load") < capacity))
+    upto, seen = -1, 0
+    for r in sorted(loads.groupBy("load").count().collect()):  # at most ``capacity`` rows
+        if seen + r[1] > most:
+            break
+        upto, seen = r.load, seen + r[1]
+    names = loads.filter(F.col("load") <= upto).select(F.col("sequence_id").alias("given"))
+    marked = packed.join(names, F.col("sequence_id") == F.col("given"), "left").withColumn("part", F.lit(0).cast("long"))
+    again = marked.filter("given is not null").drop("given").groupBy("part").applyInArrow(_packer(capacity, level), PACKED)
+    return written(marked.filter("given is null").drop("given").unionByName(again))

@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _SHORT = np.uint64(0x2545F4914F6CDD1D)
-#: Bytes that are hashed at once, unless a document has more.
-CHUNK = 1 << 17
-#: An odd number, its inverse modulo 2^64, and a value for each byte; A-Z have those of a-z.
-_BASE = 0x9E3779B97F4A7C15
-_UNBASE = pow(_BASE, -1, 1 << 64)
+#: Bytes that are hashed at once, unless a document has more; bytes of the longest word that is hashed from the table.
+CHUNK, PLACES = 1 << 17, 64
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -42,23 +39,17 @@ def shingle_set(h: np.ndarray, size: int) -> np.ndarray:
     return mixed((h * _ODD[: len(h)]).sum(dtype=np.uint64, keepdims=True) + _SHORT * np.uint64(len(h)))
 
 
-_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD[1])
-_EXACT = _BYTE.copy()
-_BYTE[0x41:0x5B] = _BYTE[0x61:0x7B]
-
-
-@lru_cache(maxsize=2)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+#: A number for each byte at each place of a word; A-Z have those of a-z.
+_TABLE = mixed(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * _ODD[1]).reshape(PLACES, 256)
+_TABLE[:, 0x41:0x5B] = _TABLE[:, 0x61:0x7B]
+_TABLE = _TABLE.ravel()
 
 
 def hashed_words(raws: Iterable[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text its words' 64-bit hashes and their lengths in bytes.
 
-    Words are runs between blanks; A-Z count as a-z. The hash is a polynomial over the bytes, taken
-    for all words of many texts from one running sum.
+    Words are runs between blanks; A-Z count as a-z. A word's hash adds up a number for each byte at its place,
+    taken for all words of many texts from one running sum; longer words than ``PLACES`` bytes are hashed one by one.
     """
     held, size = [], 0
     for raw in raws:
@@ -71,22 +62,19 @@ def hashed_words(raws: Iterable[bytes | None]) -> Iterator[tuple[np.ndarray, np.
         yield from _hashed(held)
 
 
-def hashed_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of bytes, upper and lower case apart."""
-    n = 1 << max(CHUNK.bit_length(), len(raw).bit_length())
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_EXACT[raw] * _powers(_BASE, n)[: len(raw)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * _powers(_UNBASE, n)[starts] + (ends - starts).astype(np.uint64))
-
-
 def _hashed(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    n = 1 << max(CHUNK.bit_length(), len(raw).bit_length())
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * _powers(_BASE, n)[: len(raw)], out=sums[1:])
     turns = np.flatnonzero(np.diff(np.concatenate(([True], _BLANK[raw]))))  # the last byte is a blank: turns come in pairs
     starts, ends = turns[::2], turns[1::2]
-    hashes = mixed((sums[ends] - sums[starts]) * _powers(_UNBASE, n)[starts] + (ends - starts).astype(np.uint64))
-    bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        yield hashes[a:b], (ends - starts)[a:b]
+    sizes = ends - starts
+    bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)])).tolist()
+    first = int(starts[0]) if len(starts) else len(raw)
+    place = np.arange(first, len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
+    np.minimum(place, PLACES - 1, out=place)
+    sums = np.zeros(len(raw) - first + 1, np.uint64)
+    np.cumsum(_TABLE[place << 8 | raw[first:]], out=sums[1:])
+    hashes = mixed(sums[ends - first] - sums[starts - first] + sizes.astype(np.uint64) * _ODD[2])
+    for i in np.flatnonzero(sizes > PLACES).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes().lower())
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        yield hashes[a:b], sizes[a:b]

@@ -1,44 +1,77 @@
 """Token counts and token ids by a two-tier table of pre-tokens.
 
 A byte-pair tokenizer treats each pre-token on its own, so a text's ids are those of its pre-tokens
-in order. Pre-tokens of many texts are found at once, as runs of bytes of one kind, and named by
-64-bit hashes. A compact table of the lengths of frequent ones is learned from a bounded sample and
-broadcast; one that it lacks is encoded by the library when a worker first meets it and then held in a
-cache of bounded size. No pre-token is ever shuffled.
-
-The short cut covers texts of printable ASCII, Latin letters, single blanks and line feeds, without
-apostrophes (which may join letters to a pre-token) and without the tokenizer's special strings. All
-other texts go to the library whole. Results are the library's either way.
+in order. Texts are cut by the tokenizer's own rule, as a regular expression over the whole text,
+whatever they hold. The table's first tier has the lengths of frequent pre-tokens; it is learned from a bounded
+sample and broadcast. The second is the worker's cache: what the first lacks is encoded by the
+library when a worker first meets it and held up to a bounded number. Both are keyed by the
+pre-token itself, not by a hash, so results are the library's. No pre-token of the corpus is shuffled.
+
+Only texts with one of the tokenizer's special strings, or with a code point that Unicode hasn't
+assigned, go to the library whole.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import unicodedata
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text
-from .shingles import hashed_spans
 
 #: Documents that the table of frequent pre-tokens is learned from, and its entries. They alter speed alone.
 SAMPLE_DOCS = 1000
 TABLE_SIZE = 50_000
-#: Pre-tokens that a worker's cache holds at most (it is emptied beyond that), the characters of the longest, and bytes handled at once.
+#: Pre-tokens that a worker's cache holds at most (it starts anew beyond that), the characters of the longest, characters cut at once.
 CACHED, CACHED_CHARS, AT_ONCE = 600_000, 48, 1 << 19
 
-_SPACED = np.uint64(0x5851F42D4C957F2D)
-_ODD = re.compile("[^\n\x20-\x26\x28-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u024f]")
-#: Kinds of bytes: blank, line feed, letter, digit, other.
-_KIND = np.full(256, 4, np.uint8)
-_KIND[0x20], _KIND[0x0A] = 0, 1
-_KIND[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")], _KIND[list(b"0123456789")] = 2, 3
-_KIND[0x80:] = 2
+#: White space as the tokenizers know it, and the letters and numbers below U+0180.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LETTER, _NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: A character whose class or lower case the short classes don't tell: beyond U+017F, but for punctuation and currency signs.
+_BEYOND = re.compile("[^\0-\u017f\u2010-\u2027\u2030-\u203e\u20a0-\u20bf]")
+#: Where a text may be cut without parting a pre-token: before white space.
+_SEAM = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
+
+
+def _patterns(rule: str) -> tuple:
+    """The rule with L, N and S as classes: for texts of known characters, and for all."""
+    short = re.compile(rule.replace("L", _LETTER).replace("N", _NUMBER).replace("S", _SPACE))
+    return short, regex.compile(rule.replace("L", r"\p{L}").replace("N", r"\p{N}").replace("S", _SPACE))
+
+
+#: How the two kinds of tokenizer cut texts.
+_BYTES = _patterns(" ?[L]+| ?[N]+|'(?:[stmd]|re|ve|ll)| ?[^SLN]+|[S]+(?![^S])|[S]+")
+_WORDS = _patterns("[L]+|[N]|'(?:[stmd]|re|ve|ll)|[^SLN]+")
+
+
+@lru_cache(maxsize=1)
+def _unassigned() -> re.Pattern:
+    """Code points without a meaning yet, which libraries of other years may class otherwise."""
+    none = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+    turns = np.flatnonzero(np.diff(np.concatenate(([False], none, [False])))).reshape(-1, 2).tolist()
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in turns) + "]")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it is printable, else the next one from U+0100."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return [chr(b if b in printable else 256 + others.index(b)) for b in range(256)]
+
+
+_LETTERS = _byte_letters()
 
 
 class Encoder:
@@ -52,122 +85,83 @@ class Encoder:
             spec = json.load(f)
         self.word = bool(spec.get("normalizer"))
         self.special = [x["content"] for x in spec.get("added_tokens") or []]
-        self.table: dict[int, int] = {}
-        self.cache: dict[int, bytes] = {}
+        self.table: dict[str, int] = {}
+        self.lengths: dict[str, int] = {}
+        self.ids: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def plain(self, text: str) -> bool:
-        """Whether the text's pre-tokens are its runs of one kind."""
-        if _ODD.search(text) or any(s in text for s in self.special):
-            return False
-        return self.word or not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] == " " or text[-1:] == " ")
-
-    def cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes of plain texts; starts, ends and hashes of their pre-tokens, whether a blank belongs to each; where each text's begin and end."""
-        parts = [t.encode() for t in texts]
-        raw = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
-        kind = _KIND[raw]
-        turn = np.concatenate(([True], kind[1:] != kind[:-1])) | (kind == 1)
+    def pieces(self, text: str) -> list[str] | None:
+        """The pre-tokens of a text in order; None if it must go to the library whole: for a special string or an unassigned code point."""
+        beyond = _BEYOND.search(text) is not None
+        if any(s in text for s in self.special) or (beyond and _unassigned().search(text)):
+            return None
         if self.word:
-            turn |= kind == 3  # digits stand alone
-        starts = np.flatnonzero(turn)
-        ends = np.concatenate((starts[1:], [len(raw)]))
-        real = kind[starts] > int(self.word)
-        starts, ends = starts[real], ends[real]
-        hashes = hashed_spans(raw, starts, ends)
-        bounds = np.searchsorted(starts, np.cumsum([0, *(len(p) + 1 for p in parts)]))
-        spaced = np.zeros(len(starts), bool)
-        if not self.word:
-            spaced = (starts > 0) & (raw[starts - 1] == 0x20)
-            spaced[bounds[:-1]] = False  # the blank before a text's first one parts texts
-            hashes[spaced] ^= _SPACED
-        return raw, starts, ends, hashes, spaced, bounds
-
-    def _known(self, texts: list[str], table: dict[int, int]) -> tuple[list, np.ndarray, np.ndarray]:
-        """For each distinct pre-token of plain texts its length if it is in the table, else its ids; which it is at each place; the bounds of texts."""
-        raw, starts, ends, hashes, spaced, bounds = self.cut(texts)
-        distinct, place, which = np.unique(hashes, return_index=True, return_inverse=True)
-        cache, keys = self.cache, distinct.tolist()
-        found = [table[k] if k in table else cache.get(k) for k in keys] if table else list(map(cache.get, keys))
+            text = self.tokenizer.normalizer.normalize_str(text) if beyond else text.lower()
+        return (_WORDS if self.word else _BYTES)[beyond].findall(text)
+
+    def encoded(self, piece: str) -> bytes | None:
+        """The ids of a pre-token; None for one that the normalizer alters once more."""
+        if self.word and not piece.isascii() and self.tokenizer.normalizer.normalize_str(piece) != piece:
+            return None
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
+
+    def _found(self, text: str, cache: dict, value) -> list | None:
+        """The values of a text's pre-tokens in order; None if it must go to the library whole."""
+        pieces = self.pieces(text)
+        if pieces is None:
+            return None
+        found = list(map(cache.get, pieces))
+        if None not in found:
+            return found
         if len(cache) > CACHED:
             cache.clear()
-        new = [i for i, x in enumerate(found) if x is None]
-        for blank in (False, True):
-            mine = [i for i in new if spaced[place[i]] == blank]
-            spans = [raw[starts[place[i]] : ends[place[i]]].tobytes().decode() for i in mine]
-            for i, span, ids in zip(mine, spans, self._pieces(spans, blank), strict=True):
-                found[i] = ids
-                if len(span) <= CACHED_CHARS:
-                    cache[keys[i]] = ids
-        return found, which, bounds
-
-    def _pieces(self, spans: list[str], blank: bool) -> list[bytes]:
-        """The ids of pre-tokens, all with a blank before them or none: joined so that they stay apart, encoded at once and told by their number."""
-        if not spans:
-            return []
-        if blank:
-            joined, step = "".join(f" {x}" for x in spans), 1
-        elif self.word:
-            joined, step = " ".join(spans), 1
-        elif "\n" not in spans:
-            joined, step = "\n".join(spans), 2  # every second one is the line feed
-        else:
-            rest = self._pieces([x for x in spans if x != "\n"], blank)
-            at = iter(rest)
-            return [self.whole(x) if x == "\n" else next(at) for x in spans]
-        got = self.tokenizer.encode(joined, add_special_tokens=False)
-        number = np.array(got.word_ids, np.int64)
-        if not len(number) or number[-1] != step * (len(spans) - 1) or (np.diff(number) < 0).any():
-            return [self.whole(" " * int(blank) + x) for x in spans]
-        ids = np.array(got.ids, "<u4")
-        cuts = np.searchsorted(number, np.arange(0, step * len(spans) + 1))
-        return [ids[cuts[step * i] : cuts[step * i + 1]].tobytes() for i in range(len(spans))]
-
-    def counts(self, texts: list[str]) -> list[int]:
-        """The number of tokens of each text."""
-        def made(group: list[str]) -> Iterator[int]:
-            found, which, bounds = self._known(group, self.table)
-            lengths = np.array([x if isinstance(x, int) else len(x) // 4 for x in found], np.int64)
-            sums = np.concatenate(([0], np.cumsum(lengths[which])))
-            return iter((sums[bounds[1:]] - sums[bounds[:-1]]).tolist())
-
-        return self._each(texts, made, lambda t: len(self.whole(t)) // 4)
-
-    def all_ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        def made(group: list[str]) -> Iterator[bytes]:
-            ids, which, bounds = self._known(group, {})
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            flat, at = np.frombuffer(b"".join(ids), "<u4"), np.concatenate(([0], np.cumsum(sizes)))[:-1]
-            n = sizes[which]
-            ends = np.cumsum(n)
-            out = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[which] - ends + n, n)]
-            sums = np.concatenate(([0], ends))
-            return (out[sums[a] : sums[b]].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
-
-        return self._each(texts, made, self.whole)
-
-    def _each(self, texts: list[str], made, alone) -> list:
-        """Results in order: plain texts in groups of about ``AT_ONCE`` characters by ``made``, others by ``alone``."""
-        out: list = [None] * len(texts)
-        group, size = [], 0
-        for i, t in enumerate(texts):
-            if t and self.plain(t):
-                group.append(i)
-                size += len(t)
-                if size >= AT_ONCE:
-                    for k, x in zip(group, made([texts[k] for k in group]), strict=True):
-                        out[k] = x
-                    group, size = [], 0
-            else:
-                out[i] = alone(t)
-        if group:
-            for k, x in zip(group, made([texts[k] for k in group]), strict=True):
-                out[k] = x
+            cache.update(self.table if cache is self.lengths else {})
+        long = {}
+        for i in compress(range(len(found)), [x is None for x in found]):
+            piece = pieces[i]
+            kept = cache if len(piece) <= CACHED_CHARS else long
+            if (known := kept.get(piece)) is None:
+                ids = self.encoded(piece)
+                if ids is None:
+                    return None
+                known = kept[piece] = value(ids)
+            found[i] = known
+        return found
+
+    def _parts(self, text: str, cache: dict, value) -> list[list] | None:
+        """The values of a text, cut at seams into parts of bounded size; None if it must go to the library whole."""
+        if any(s in text for s in self.special):
+            return None
+        out = []
+        for part in seamed(text):
+            if (found := self._found(part, cache, value)) is None:
+                return None
+            out.append(found)
         return out
 
+    def count(self, text: str) -> int:
+        """The number of a text's tokens."""
+        if not self.lengths:
+            self.lengths.update(self.table)
+        parts = self._parts(text, self.lengths, lambda ids: len(ids) // 4)
+        return len(self.whole(text)) // 4 if parts is None else sum(map(sum, parts))
+
+    def text_ids(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        parts = self._parts(text, self.ids, bytes)
+        return self.whole(text) if parts is None else b"".join(map(b"".join, parts))
+
+
+def seamed(text: str) -> Iterator[str]:
+    """The text in parts of about ``AT_ONCE`` characters, parted before white space (at the end of a longer word, if there is one)."""
+    at = 0
+    while len(text) - at > AT_ONCE and (seam := _SEAM.search(text, at + AT_ONCE)):
+        yield text[at : seam.start()]
+        at = seam.start()
+    yield text[at:] if at else text
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -175,10 +169,10 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def frequent_lengths(docs: DataFrame, path: str, sample: int = SAMPLE_DOCS, entries: int = TABLE_SIZE) -> dict[int, int]:
-    """Token lengths of the most frequent pre-tokens, by hash, of at most ``sample`` documents, taken by a hash of the id.
+def frequent_lengths(docs: DataFrame, path: str, sample: int = SAMPLE_DOCS, entries: int = TABLE_SIZE) -> dict[str, int]:
+    """Token lengths of the most frequent pre-tokens of at most ``sample`` documents, taken by a hash of the id.
 
-    The driver receives ``sample`` ids and ``entries`` pairs of integers at most.
+    The driver receives ``sample`` ids and ``entries`` pre-tokens of ``CACHED_CHARS`` characters at most.
     """
     chosen = id_text(docs).select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     ids = [r[0] for r in chosen.collect()]
@@ -188,15 +182,18 @@ def frequent_lengths(docs: DataFrame, path: str, sample: int = SAMPLE_DOCS, entr
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            texts = [t for t in b.column(0).to_pylist() if t and enc.plain(t)]
-            if texts:
-                ids, which, _ = enc._known(texts, {})
-                hashes = np.unique(enc.cut(texts)[3])
-                yield pa.record_batch({"h": pa.array(hashes.view(np.int64)), "tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "n": pa.array(np.bincount(which, minlength=len(hashes)))})
+            seen: Counter[str] = Counter()
+            for t in b.column(0).to_pylist():
+                for part in seamed(t or ""):
+                    seen.update(enc.pieces(part) or ())
+            short = [p for p in seen if len(p) <= CACHED_CHARS]
+            if short:
+                coded = [(p, len(x) // 4) for p in short if (x := enc.encoded(p)) is not None]
+                yield pa.record_batch({"piece": pa.array([p for p, _ in coded], pa.string()), "tokens": pa.array([k for _, k in coded], pa.int64()), "n": pa.array([seen[p] for p, _ in coded], pa.int64())})
 
     texts = id_text(docs).filter(F.col("doc_id").isin(ids)).select("text")
-    top = texts.mapInArrow(count, "h long, tokens long, n long").groupBy("h").agg(F.sum("n").alias("n"), F.max("tokens").alias("tokens")).orderBy(F.desc("n"), "h").limit(entries)
-    return {r.h % (1 << 64): r.tokens for r in top.collect()}
+    top = texts.mapInArrow(count, "piece string, tokens long, n long").groupBy("piece").agg(F.sum("n").alias("n"), F.max("tokens").alias("tokens")).orderBy(F.desc("n"), "piece").limit(entries)
+    return {r.piece: r.tokens for r in top.collect()}
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
@@ -212,7 +209,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
         enc.table = frequent.value
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "n_tokens": pa.array(enc.counts(texts), pa.int64()), "n_bytes": pa.array([_bytes(t) for t in texts], pa.int64())})
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "n_tokens": pa.array(map(enc.count, texts), pa.int64()), "n_bytes": pa.array([_bytes(t) for t in texts], pa.int64())})
 
     counted = id_text(docs).mapInArrow(count, "doc_id long, n_tokens long, n_bytes long")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

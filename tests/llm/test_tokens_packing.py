@@ -25,10 +25,43 @@ def test_encoder_equals_library(path):
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(600)] + [prose(rng, 50) for _ in range(20)]
     rng.shuffle(texts)
     for group in (texts, texts[::-1], *([t] for t in texts)):
-        for t, ids, n in zip(group, enc.all_ids(group), enc.counts(group), strict=True):
+        for t in group:
             want = lib.encode(t, add_special_tokens=False).ids
-            assert np.frombuffer(ids, "<u4").tolist() == want, repr(t)
-            assert n == len(want), repr(t)
+            assert np.frombuffer(enc.text_ids(t), "<u4").tolist() == want, repr(t)
+            assert enc.count(t) == len(want), repr(t)
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_ordinary_texts_take_the_table(path):
+    """Apostrophes, quotes, runs of blanks and empty lines don't send a text to the library whole."""
+    enc, lib = Encoder(path), Tokenizer.from_file(path)
+    enc.whole = None
+    for t in ("it's  l'eau\n\n\n“così”\t\tfine…\r\n", " a  b ", "naïve — Straße’s 日本語 ΣΑΣ", "x\u200b y"):
+        assert np.frombuffer(enc.text_ids(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_every_code_point_is_cut_as_the_library_does(path):
+    enc, lib = Encoder(path), Tokenizer.from_file(path)
+    texts = ["".join(f"a{chr(c)}1 {chr(c)}{chr(c)} b{chr(c)}\n" for c in range(at, at + 64) if not 0xD800 <= c < 0xE000) for at in range(0, 0x30000, 64)]
+    for t, want in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(enc.text_ids(t), "<u4").tolist() == want.ids, hex(ord(t[1]))
+
+
+def thue_morse(n, letters):
+    """Two words of n letters, each other's complement, that polynomial hashes modulo a power of two don't tell apart."""
+    signs = [bin(i).count("1") % 2 for i in range(n)]
+    return tuple("".join(letters[s ^ flip] for s in signs) for flip in (0, 1))
+
+
+def test_complementary_words_are_told_apart(docs):
+    lib, low = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    texts = [w for n in (1024, 2048, 4096) for pair in ("ab", "eq") for w in thue_morse(n, pair)]
+    got = {r.doc_id: r.n_tokens for r in token_counts(docs(list(enumerate(texts))), BYTE).collect()}
+    assert got == {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    crc = {(r.doc_id, r.piece): r.ids_crc32 for r in packing.pack(docs(list(enumerate(texts))), WORD).collect()}
+    ids = {i: np.array([*low.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in enumerate(texts)}
+    assert crc == {(i, k // 2048): zlib.crc32(x[k : k + 2048].tobytes()) for i, x in ids.items() for k in range(0, len(x), 2048)}
 
 
 def test_small_caches_change_nothing(monkeypatch):
@@ -40,7 +73,7 @@ def test_small_caches_change_nothing(monkeypatch):
     rng = random.Random(2)
     enc, lib = Encoder(BYTE), Tokenizer.from_file(BYTE)
     texts = [prose(rng, 20) for _ in range(30)]
-    assert enc.counts(texts) == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert list(map(enc.count, texts)) == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 def test_counts(docs):
@@ -58,9 +91,9 @@ def test_frequent_table_is_bounded(docs):
     table = frequent_lengths(rows, BYTE, sample=20, entries=15)
     enc = Encoder(BYTE)
     texts = [r.text for r in rows.collect()]
-    assert len(table) == 15 and set(table) & set(enc.cut(texts)[3].tolist())
+    assert len(table) == 15 and set(table) <= {p for t in texts for p in enc.pieces(t)}
     enc.table = table
-    assert enc.counts(texts) == [len(enc.whole(t)) // 4 for t in texts]
+    assert list(map(enc.count, texts)) == [len(enc.whole(t)) // 4 for t in texts]
 
 
 # Packing
@@ -139,6 +172,20 @@ def test_pack_exchanges(docs):
     assert bins <= bound + 3 and len({r.sequence_id for r in alone}) >= bound
 
 
+def test_pack_is_the_same_however_rows_lie(docs):
+    """Other partitions and orders of the rows, with many equal ones: the same sequences, with their bound."""
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.randrange(1, 40))) for i in range(300)] + [(7, "sempre uguale")] * 700 + [(None, None)] * 300
+    results = []
+    for n in (1, 3, 5):
+        rng.shuffle(rows)
+        got = packing.pack(docs(rows).repartition(n), WORD, capacity=128, part_pieces=100, fan=3).collect()
+        results.append(sorted(tuple(r) for r in got if r.doc_id is not None) + sorted(tuple(r)[1:] for r in got if r.doc_id is None))
+        bound = packing.lower_bound(np.bincount([r.length for r in got], minlength=129), 128)
+        assert len(got) == len(rows) and {(r.sequences, r.least_sequences) for r in got} == {(len({r.sequence_id for r in got}), bound)}
+    assert results[0] == results[1] == results[2] and got[0].sequences - bound <= 1
+
+
 def test_pack_repeats(docs):
     rows = [(1, "uno due")] * 3 + [(None, "uno due"), (None, None)]
     got = packing.pack(docs(rows), WORD).collect()
