@@ -176,21 +176,20 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, part_pieces: int
         if bins <= bound:
             break
         level += 1
-        wider = _reopened(packed, capacity, level, most)
-        if (fewer := _bins(wider)) < bins:
-            packed, bins = wider, fewer
+        given, again = _reopened(packed, capacity, level, most)
+        if (won := given.count() - _bins(again)) > 0:
+            packed, bins = packed.join(given, "sequence_id", "left_anti").unionByName(again), bins - won
     return packed.drop("part", "open").withColumns({"sequences": F.lit(bins).cast("long"), "least_sequences": F.lit(bound).cast("long")})
 
 
-def _reopened(packed: DataFrame, capacity: int, level: int, most: int) -> DataFrame:
-    """Packs the ``most`` emptiest bins of all anew, in one group of bounded size."""
+def _reopened(packed: DataFrame, capacity: int, level: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """The names of the ``most`` emptiest bins of all, and their pieces packed anew in one group of bounded size."""
     loads = written(packed.groupBy("sequence_id").agg(F.sum("length").alias("load")).filter(F.col("load") < capacity))
     upto, seen = -1, 0
     for r in sorted(loads.groupBy("load").count().collect()):  # at most ``capacity`` rows
         if seen + r[1] > most:
             break
         upto, seen = r.load, seen + r[1]
-    names = loads.filter(F.col("load") <= upto).select(F.col("sequence_id").alias("given"))
-    marked = packed.join(names, F.col("sequence_id") == F.col("given"), "left").withColumn("part", F.lit(0).cast("long"))
-    again = marked.filter("given is not null").drop("given").groupBy("part").applyInArrow(_packer(capacity, level), PACKED)
-    return written(marked.filter("given is null").drop("given").unionByName(again))
+    given = written(loads.filter(F.col("load") <= upto).select("sequence_id"))
+    pieces = packed.join(F.broadcast(given), "sequence_id").withColumn("part", F.lit(0).cast("long"))
+    return given, written(pieces.groupBy("part").applyInArrow(_packer(capacity, level), PACKED))

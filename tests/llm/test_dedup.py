@@ -6,8 +6,12 @@ import pytest
 
 from conftest_llm import prose
 from postsieve.llm.components import components
+from postsieve.llm import exact_dedup as exact
 from postsieve.llm.exact_dedup import exact_dedup
-from postsieve.llm.near_dedup import near_dedup
+from postsieve.llm.near_dedup import near_dedup, prefix_pairs
+
+
+real = exact.F.xxhash64
 
 
 def by_hand(rows):
@@ -28,8 +32,19 @@ def test_exact(docs):
     assert got == by_hand(rows)
 
 
-def test_exact_hot_group_is_dealt(docs):
-    rows = [(i, "same text" if i % 3 else f"own {i}") for i in range(600)]
+def test_exact_hot_group_is_dealt(docs, monkeypatch):
+    """Groups of a third of all rows and of long texts go to several runs, whose first rows are compared on the whole text."""
+    monkeypatch.setattr(exact, "ROWS", 20)
+    monkeypatch.setattr(exact, "BYTES", 5000)
+    rows = [(i, ["same  text", "same\ttext", f"own {i}"][i % 3]) for i in range(600)] + [(1000 + i, "y" * 900) for i in range(30)]
+    assert sorted(tuple(r) for r in exact_dedup(docs(rows)).collect()) == by_hand(rows)
+
+
+def test_exact_equality_is_not_that_of_hashes(docs, monkeypatch):
+    """With one hash for all texts of the same first letters, groups are still those of equal texts."""
+    monkeypatch.setattr(exact, "ROWS", 20)
+    monkeypatch.setattr(exact.F, "xxhash64", lambda *c: exact.F.lit(7) if c == ("norm",) else real(*c))
+    rows = [(i, f"{'prefix ' * 4}{i % 7 if i % 2 else 'one'}") for i in range(200)]
     assert sorted(tuple(r) for r in exact_dedup(docs(rows)).collect()) == by_hand(rows)
 
 
@@ -109,16 +124,59 @@ def test_near_large_group_and_chain(docs):
     assert sorted(tuple(r) for r in near_dedup(docs(rows), words=4).collect()) == linked(rows, 4)
 
 
-def test_near_blocks(docs, monkeypatch):
-    """Small blocks, so that the members of a hub meet in many tasks."""
+def test_near_hot_keys(docs, monkeypatch):
+    """Small shares count as hot, so values, hubs, shingles and classes go the way of hot keys; the needed sets are joined instead of told by a map."""
     from postsieve.llm import near_dedup as module
+    from postsieve.llm import skew
 
-    monkeypatch.setattr(module, "BLOCK", 4)
-    monkeypatch.setattr(module, "COLUMNS", 16)
+    monkeypatch.setattr(skew, "HOT", 40)
+    monkeypatch.setattr(skew, "UNIT", 2)
     rng = random.Random(4)
-    base = prose(rng, 60)
-    rows = [(i, edited(rng, base, rng.randrange(9))) for i in range(60)]
-    assert sorted(tuple(r) for r in near_dedup(docs(rows), words=4).collect()) == linked(rows, 4)
+    base, shared = prose(rng, 60), prose(rng, 45)
+    rows = [(i, edited(rng, base, rng.randrange(9))) for i in range(80)] + [(200 + i, f"{shared} {prose(rng, 12)}") for i in range(60)] + [(300 + i, base) for i in range(30)]
+    want = linked(rows, 4)
+    assert sorted(tuple(r) for r in near_dedup(docs(rows), words=4).collect()) == want
+    monkeypatch.setattr(module, "MAP_BITS", 4)
+    assert sorted(tuple(r) for r in near_dedup(docs(rows), words=4).collect()) == want
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_prefix_pairs_hold_all_links(spark, docs, percent):
+    """Without the sketches before it: every linked pair of two labels is among the pairs."""
+    rng = random.Random(percent)
+    rows = []
+    for g in range(6):
+        base = prose(rng, rng.choice([2, 9, 40, 120]))
+        rows += [(100 * g + i, edited(rng, base, rng.randrange(12 if percent < 80 else 3)) + rng.choice(["", " " + prose(rng, 3)])) for i in range(25)]
+    sets = {i: shingles(t, 4) for i, t in rows}
+    apart = spark.createDataFrame([(i, len(s), i % 3) for i, s in sets.items()], "node long, n long, label long")
+    got = {frozenset((r.a, r.b)) for r in prefix_pairs(apart, docs(rows), 4, percent).collect()}
+    ids = sorted(sets)
+    want = {frozenset((i, j)) for i in ids for j in ids if i < j and i % 3 != j % 3 and len(sets[i] & sets[j]) * 100 >= percent * len(sets[i] | sets[j])}
+    assert want <= got and len(want) > 10
+
+
+def test_boilerplate_makes_no_pairs(spark, docs):
+    """Documents that share three quarters of their words, but no more: none is compared with another."""
+    rng = random.Random(8)
+    shared = prose(rng, 120)
+    rows = [(i, f"{shared} {prose(rng, 45)}") for i in range(80)]
+    apart = spark.createDataFrame([(i, len(shingles(t, 4)), i) for i, t in rows], "node long, n long, label long")
+    assert prefix_pairs(apart, docs(rows), 4, 80).count() == 0
+
+
+def test_near_complementary_words(docs):
+    from test_tokens_packing import thue_morse
+
+    rows = list(enumerate(w for n in (1024, 2048, 4096) for pair in ("ab", "eq") for w in thue_morse(n, pair)))
+    assert sorted(tuple(r) for r in near_dedup(docs(rows)).collect()) == [(i, 1, i, True) for i, _ in rows]
+
+
+def test_near_very_long_texts(docs):
+    rng = random.Random(3)
+    long = " ".join(f"{rng.randrange(10**9):x}" for _ in range(60_000))
+    rows = [(1, long), (2, edited(rng, long, 300)), (3, long[: len(long) // 2]), (4, "x" * 1_000_000), (5, "x" * 1_000_001)]
+    assert sorted(tuple(r) for r in near_dedup(docs(rows)).collect()) == linked(rows, 5)
 
 
 def test_near_odd_ids(docs):
