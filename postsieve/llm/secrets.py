@@ -45,22 +45,47 @@ ENDP_GATE = r"https?://|[A-Za-z0-9_\]-]:[0-9]{2}"
 
 SCOPE = 200
 KINDS = ("assign", "access", "hex", "wkey", "endp")
+#: Numbers that are added up one after the other.
+BLOCK = 64
 SPANS = "array<struct<start:int,rank:int,end:int>>"
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, levels: int = 2) -> Column:
+    """Running sums of an array of numbers: within blocks of ``BLOCK``, whose own sums are added up likewise. Time and space grow with the array."""
+    if not levels:
+        none = F.array().cast("array<int>")
+        return F.aggregate(values, none, lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x)))
+
+    def summed(v: Column) -> Column:
+        firsts = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.size(v) - 1, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+        # By place, as slice() copies the whole array each time.
+        block = lambda at: F.transform(F.sequence(at, F.least(at + (BLOCK - 1), F.size(v) - 1)), lambda i: F.get(v, i))
+        return _let(F.transform(firsts, lambda at: _running(block(at), 0)), joined)
+
+    def joined(rows: Column) -> Column:
+        tops = _running(F.transform(rows, lambda r: F.element_at(r, -1)), levels - 1)
+        return _let(tops, lambda t: F.flatten(F.transform(rows, lambda r, i: F.transform(r, lambda x: x + F.coalesce(F.get(t, i - 1), F.lit(0))))))
+
+    return _let(values, summed)
+
+
 def _spans(kind: str, pattern: str, gate: str, kept=None) -> Column:
     """Sorted spans of all matches in ``t``, in code points: lengths of what lies between matches and of the matches, added up."""
     found = F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
     keep = F.transform(found, lambda x: F.lit(True)) if kept is None else kept(found)
     steps = F.arrays_zip(F.transform(F.split("t", pattern, -1), F.length).alias("gap"), F.transform(found, F.length).alias("len"), keep.alias("keep"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,keep:boolean>>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        at = a["at"] + x["gap"]
-        return F.struct((at + x["len"]).alias("at"), F.concat(a["out"], F.array(F.struct(at.alias("start"), (at + x["len"]).alias("end"), x["keep"].alias("keep")))).alias("out"))
+    def placed(steps: Column) -> Column:
+        ends = _running(F.transform(steps, lambda x: x["gap"] + x["len"]))
+        span = lambda x, end: F.struct((end - x["len"]).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), x["keep"].alias("keep"))
+        return F.transform(F.filter(F.zip_with(steps, ends, span), lambda x: x["keep"]), lambda x: F.struct(x["start"], x["rank"], x["end"]))
 
-    walked = F.aggregate(F.filter(steps, lambda x: x["len"].isNotNull()), start, step)["out"]
-    spans = F.transform(F.filter(walked, lambda x: x["keep"]), lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), x["end"].alias("end")))
+    spans = _let(F.filter(steps, lambda x: x["len"].isNotNull()), placed)
     return F.when(F.expr(gate) if isinstance(gate, str) else gate, spans).otherwise(F.array().cast(SPANS)).cast(SPANS).alias(kind)
 
 

@@ -218,7 +218,7 @@ def test_round_trip(spark, docs, tmp_path):
     read = list(shards.read_slots(out, 0, n, sequence=32, per_shard=16))
     stream = [x for r in got for x in read[r.slot][: r.n_ids].tolist()]
     enc = shards._encoding(path)
-    assert stream == [x for r in table.collect() for x in [*enc.encode_ordinary(r.text or ""), 50256]]
+    assert stream == [x for r in table.orderBy("_metadata.file_path", "_metadata.row_index").collect() for x in [*enc.encode_ordinary(r.text or ""), 50256]]
     assert all(zlib.crc32(read[r.slot][: r.n_ids].astype("<u2").tobytes()) == r.ids_crc32 for r in got)
     part = list(shards.read_slots(out, 5, 40, sequence=32, per_shard=16))
     assert np.array_equal(np.array(part), np.array(read[5:40]))
@@ -227,5 +227,33 @@ def test_round_trip(spark, docs, tmp_path):
     assert not [f for f in (tmp_path / "shards").iterdir() if f.name.startswith(".") and not f.name.endswith(".crc")]
 
 
+def test_shards_do_not_depend_on_the_scan(spark, docs, tmp_path):
+    """Other splits of the same files, and any order of rows that come from no file, give equal shards."""
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.randrange(1, 80))) for i in range(400)] + [(None, "nulla"), (None, None), (5, "ripetuto"), (5, "ripetuto")]
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    docs(rows).repartition(5).write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/in")
+    run = lambda table, name: sorted(map(tuple, shards.materialise(table, path, f"file://{tmp_path}/{name}", key=5, sequence=32, per_shard=16).collect()))
+    read = lambda name: [f.read_bytes() for f in sorted((tmp_path / name).glob("shard-*"))]
+    whole = run(spark.read.parquet(f"{tmp_path}/in"), "a")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "6000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        table = spark.read.parquet(f"{tmp_path}/in")
+        assert table.rdd.getNumPartitions() > 5 and run(table, "b") == whole and read("b") == read("a")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    rng.shuffle(rows)
+    mixed = run(spark.read.parquet(f"{tmp_path}/in").repartition(3), "c")
+    assert mixed == run(docs(rows).repartition(2), "d") and read("c") == read("d") and len(mixed) == len(whole)
+
+
+def test_ids_that_do_not_fit_are_refused(docs, tmp_path):
+    with pytest.raises(ValueError):
+        shards.materialise(docs([(1, "a")]), tokenizer_path("byte_bpe_50k.tiktoken"), f"file://{tmp_path}/x", width=1)
+
+
 def test_no_rows_no_shards(docs, tmp_path):
     assert shards.materialise(docs([]).filter("false"), tokenizer_path("byte_bpe_50k.tiktoken"), f"file://{tmp_path}/none").count() == 0
