@@ -5,8 +5,8 @@ with blanks. A document's own most frequent n-grams are ranked likewise and the
 distance to each profile is the mean of how far each n-gram stands from its place there (at most
 the profile's size). The nearest profile wins.
 
-Profiles are fitted on at most ``per_language`` labelled documents of each language, chosen by a
-hash of the id. Prediction reads whole texts.
+Profiles are fitted on ``per_language`` labelled documents of each language, chosen by a
+hash of the id and the text, and for the ``languages`` most frequent ones. Prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, written
+from .common import id_text
 
 PROFILE = 400
 PER_LANGUAGE = 500
 UNKNOWN = "und"
-#: Parts of a language that are sampled each for itself before they meet.
-PARTS = 16
+#: Languages that are learned at most: the most frequent ones.
+LANGUAGES = 1000
 
 
 @lru_cache(maxsize=1)
@@ -56,21 +56,25 @@ def ranked(values: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
     return values[order]
 
 
-def fit_profiles(docs: DataFrame, lang: str = "lang", learn: Column | None = None, per_language: int = PER_LANGUAGE, size: int = PROFILE) -> dict[str, list[int]]:
-    """Profiles by language; the driver receives ``size`` integers a language.
+def fit_profiles(docs: DataFrame, lang: str = "lang", learn: Column | None = None, per_language: int = PER_LANGUAGE, size: int = PROFILE, languages: int = LANGUAGES) -> dict[str, list[int]]:
+    """Profiles of the ``languages`` most frequent languages; the driver receives ``size`` integers of each.
 
-    Learns from rows where ``learn`` holds and lang and text are not null. Equal counts rank by the
-    n-gram's code, so equal inputs give equal profiles. Without such rows there are no profiles.
+    Learns from rows where ``learn`` holds and lang and text are not null. Equal counts rank by the language's name, or the
+    n-gram's code, so equal inputs give equal profiles. Rows that repeat id and text are chosen together. Without such rows there are no profiles.
     """
     rows = docs.filter(F.coalesce(learn, F.lit(False))) if learn is not None else docs
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and text is not null")
-    # The least hashes of each language, first within parts of it, so that a language with most rows does not meet in one task.
-    ids = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)).alias("part"))
-    for keys in (("lang", "part"), ("lang",)):
-        first = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
-        ids = ids.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_language).drop("k")
-    chosen = written(ids.select("doc_id", F.col("lang").alias("of")))  # its size is known then: texts aren't shuffled for it
-    sample = rows.join(chosen, (rows["doc_id"].eqNullSafe(chosen["doc_id"])) & (F.col("lang") == F.col("of")), "left_semi")
+    hashed = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1))
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    if not counts:
+        return {}
+    # The least hashes of each language: a share of its rows that holds enough of them but for a negligible chance, then the least of these.
+    likely = [(name, min((1 << 63) - 1, int((1 << 63) * (per_language + 8 * per_language**0.5 + 32) / n))) for name, n in counts.items()]
+    few = hashed.select("lang", "h").join(F.broadcast(rows.sparkSession.createDataFrame(likely, "lang string, most long")), "lang").filter("h <= most")
+    ranks = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    cut = few.withColumn("k", ranks).filter(F.col("k") <= per_language).groupBy("lang").agg(F.max("h").alias("cut")).collect()
+    cuts = F.broadcast(rows.sparkSession.createDataFrame([(r.lang, r.cut) for r in cut], "lang string, cut long"))
+    sample = hashed.join(cuts, "lang").filter("h <= cut")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list] = defaultdict(list)

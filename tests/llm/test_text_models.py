@@ -73,6 +73,47 @@ def test_language_sample_is_bounded(docs):
     assert fit_profiles(docs(rows), per_language=5) == fit_profiles(docs(rows[::-1]), per_language=5)
 
 
+def test_profiles_equal_plain_counting(docs):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randrange(1, 30)) + rng.choice(["", " Ünï", " 12"]), rng.choice(["it", "de", None])) for i in range(80)]
+    want = {}
+    for name in ("de", "it"):
+        counts = {}
+        for _, t, lang in rows:
+            if lang == name:
+                for g, n in gram_set(t).items():
+                    counts[code(g)] = counts.get(code(g), 0) + n
+        want[name] = sorted(counts, key=lambda g: (-counts[g], g))[:120]
+    assert fit_profiles(docs(rows), size=120) == want
+    assert fit_profiles(docs(rows), size=120, languages=1) == {k: v for k, v in want.items() if k == max(want, key=lambda n: sum(r[2] == n for r in rows))}
+
+
+def test_profiles_of_a_language_with_most_rows(docs):
+    """A language far beyond the sample and repeated rows: the sample has the least hashes, and no more."""
+    rng = random.Random(7)
+    rows = [(i, prose(rng, 4), "it") for i in range(3000)] + [(i, f"der hund {i}", "de") for i in range(3000, 3010)] + [(None, "la casa", "it")] * 400
+    got = fit_profiles(docs(rows), per_language=20)
+    assert set(got) == {"de", "it"} and got == fit_profiles(docs(rows[::-1]).repartition(7), per_language=20)
+
+
+def test_fit_equals_plain_shrinkage(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, WIDTH)) @ rng.normal(size=(WIDTH, WIDTH)) + rng.normal(size=WIDTH)
+    y = (x[:, 0] + rng.normal(size=400) > 0).astype(int)
+    model = fit(spark.createDataFrame([(v.tolist(), int(c)) for v, c in zip(x, y, strict=True)], "x array<double>, label int").repartition(5), pool=0.2, ridge=0.05)
+    own = [np.cov(x[y == c].T, bias=True) for c in (0, 1)]
+    n = [int((y == c).sum()) for c in (0, 1)]
+    pooled = (n[0] * own[0] + n[1] * own[1]) / 400
+    scale = np.sqrt(np.diag(pooled))
+    logs = []
+    for c in (0, 1):
+        s = (0.8 * own[c] + 0.2 * pooled) / np.outer(scale, scale)
+        s = 0.95 * s + 0.05 * np.trace(s) / WIDTH * np.eye(WIDTH)
+        d = (x - x[y == c].mean(axis=0)) / scale
+        logs.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d) - 0.5 * np.linalg.slogdet(s)[1] + np.log(n[c]))
+    assert posterior(model, x) == pytest.approx(1 / (1 + np.exp(logs[0] - logs[1])), abs=1e-7)
+
+
 def test_language_held_out(spark):
     truth = {r.doc_id: r.lang for r in table(spark, DIR, "documents").collect()}
     rows = op3_language_id(spark, DIR).collect()
