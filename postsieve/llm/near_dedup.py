@@ -10,11 +10,13 @@
    copies) is the hub. Members are compared with their hubs: the pair passes a bound on the shared
    values from 256-bit maps, then the estimate from the sketch of the union, then the exact
    similarity of the full sets. What links joins one component.
-4. A linked pair of two components has a hub in common. The members of hubs of several components are
-   compared by the prefix principle on their full sets, exactly: of each set, its shingles ordered from the
-   rarest, only so many are looked up that a linked set of another component must share one, and
-   pairs must leave room for enough shared shingles after the place where they meet. Shingles of passages that
-   many documents share come last in that order, so they make no pairs. The pairs pass the same estimate and verification.
+4. A linked pair of two components has a hub in common. Of the members of hubs of several components, the
+   prefix principle on the full sets finds those that may be linked with another component at all: of each set, its shingles ordered from the
+   rarest, only so many are looked up that a linked set must share one. Shingles of passages that
+   many documents share come last in that order, so such documents drop out. The rest of a hub's members is dealt into blocks of
+   bounded size, those of one great component into blocks of their own, and every two blocks meet in a task that
+   compares full sets exactly and returns the links that join components. Blocks of the same component don't meet. What remains
+   quadratic, in units of blocks, is a crowd of sets of one origin that share nearly enough with each other and still aren't linked.
 5. Full sets are computed again from the texts of the documents concerned.
 
 Nothing is capped. Values, hubs, shingles and classes that hold a great share of the rows are joined as ``skew`` says.
@@ -41,6 +43,8 @@ from .skew import join_keyed, join_wide
 K = 64
 #: Shares of a sketch that a linked pair has in common at least (4.4 and 4 standard deviations below 0.8 for K = 64).
 LEAST_SHARE, LEAST_ESTIMATE = 0.575, 0.6
+#: Members and shingles of a block, and columns of a task's matrix at once.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 200_000, 8192
 #: Bits (as a power of two) of the map of needed documents, for each of which it has ``SPARSE`` bits; bits of a chunk of it.
 MAP_BITS, SPARSE, CHUNK = 27, 16, 32768
 MAPS = ["m0", "m1", "m2", "m3"]
@@ -150,31 +154,86 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return common.filter(F.col("c") * 100 >= (F.col("x") + F.col("y") - F.col("c")) * percent).select("a", "b").distinct()
 
 
-def prefix_pairs(apart: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of ``apart`` (node, n, label; a row for each node) with other labels, among them all of the similarity.
+def candidates(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node: those of ``apart`` (node, n, label; a row for each node) that may be linked with one of another label, and all that are.
 
     Shingles are ordered by the number of sets that hold them. Of two linked sets, the longer shares one of its first
     n - ceil(t n) + 1 with the first m - ceil(2t / (1 + t) m) + 1 of the shorter one, where t = percent / 100.
     """
-    sets = written(_needed_sets(docs, apart.select("node"), words).join(apart, "node"))
     postings = sets.select("node", "n", "label", F.explode("s").alias("value"))
-    shared = written(postings.groupBy("value").agg(F.count(F.lit(1)).alias("rows"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("rows > 1"))
-    told = shared.select("value", "rows", F.col("rows").alias("df"), (F.col("lo") != F.col("hi")).alias("mixed"))
+    shared = written(postings.groupBy("value").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"))
+    told = shared.select("value", "rows", F.col("rows").alias("df"))
     found = join_keyed(postings, told, "value", "rows", apart.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     own, rare = Window.partitionBy("node"), Window.partitionBy("node").orderBy("df", "value")
-    placed = found.select("node", "n", "label", "value", "mixed", (F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(rare)).alias("place"))  # shingles of no other set come first
+    placed = found.select("node", "n", "label", "value", (F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(rare)).alias("place"))  # shingles of no other set come first
     longer = F.expr(f"place <= n - (({percent} * n + 99) div 100) + 1")
     shorter = F.expr(f"place <= n - ((2 * {percent} * n + {99 + percent}) div {100 + percent}) + 1")
-    entries = written(placed.filter(longer & F.col("mixed")).select("value", "node", "n", "label", "place", shorter.alias("listed")))
-    lists = entries.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("listed").alias("any"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi and any").select("value", "rows")
-    total = entries.count()
-    met = written(join_keyed(entries, written(lists), "value", "rows", total))
-    listed = met.filter("listed").select("value", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "label", "place")))
-    pairs = join_wide(met, listed, "value", "node", total)
-    enough = F.expr(f"({percent} * (n + y_n) + {99 + percent}) div {100 + percent}")
-    pairs = pairs.filter("label <> y_label and (n > y_n or (n = y_n and node <> y_node))")
-    pairs = pairs.filter((F.col("y_n") * 100 >= F.col("n") * percent) & (F.least(F.col("n") - F.col("place"), F.col("y_n") - F.col("y_place")) + 1 >= enough))
-    return pairs.select(F.col("node").alias("a"), F.col("y_node").alias("b")).distinct()
+    entries = written(placed.filter(longer).select("value", "node", "label", shorter.alias("short")))
+    all_, short = ({f"{end}{name}": f(F.when(F.col("short") | F.lit(name == "_all"), F.col("label"))) for end, f in (("lo", F.min), ("hi", F.max))} for name in ("_all", "_short"))
+    lists = entries.groupBy("value").agg(F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in (all_ | short).items())).filter("lo_all <> hi_all and lo_short is not null")
+    met = join_keyed(entries, written(lists), "value", "rows", entries.count())
+    # As the longer set of a pair: some short prefix has another label; as the shorter one: some prefix has.
+    return met.filter("lo_short <> label or hi_short <> label or (short and (lo_all <> label or hi_all <> label))").select("node").distinct()
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """hub, i, j, node, label: the members of each hub of several components, for every two blocks that must meet.
+
+    A component with a block's worth of members has blocks of its own (``pure``); the others share some.
+    """
+    groups = members.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"))
+    parts = written(groups.withColumn("parts", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int")))
+    small = F.col("parts") == 1
+    pools = F.ceil(F.greatest(F.sum(F.when(small, F.col("m"))) / BLOCK, F.sum(F.when(small, F.col("size"))) / BLOCK_SHINGLES)).cast("int")
+    several = written(parts.groupBy("hub").agg(F.count(F.lit(1)).alias("rows"), pools.alias("pools")).filter("rows > 1"))
+    of = F.struct("hub", "label").alias("of")
+    known = written(join_keyed(parts, several, "hub", "rows", parts.count()).select(of, "m", "parts", "pools"))
+    dealt = join_keyed(members.select("hub", "node", "label", of), known, "of", "m", members.count())
+    pure = F.when(F.col("parts") > 1, F.col("label"))
+    own, shared = F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("parts"))), F.xxhash64(F.lit("pool"), F.pmod(F.xxhash64("label"), F.col("pools")))
+    dealt = written(dealt.select("hub", "node", "label", pure.alias("pure"), F.when(F.col("parts") > 1, own).otherwise(shared).alias("block")))
+    blocks = dealt.select("hub", "block", "pure").distinct()
+    x, y = blocks.alias("x"), blocks.alias("y")
+    meet = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.block") <= F.col("y.block")) & ~F.coalesce(F.col("x.pure") == F.col("y.pure"), F.lit(False))
+    tasks = x.join(y, meet).select(F.col("x.hub").alias("hub"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+    sides = tasks.select("hub", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    return dealt.drop("pure").join(sides, ["hub", "block"]).select("hub", "i", "j", "node", "label")
+
+
+def _joins(t: pa.Table, percent: int) -> pa.Table:
+    """Label pairs (a, b) that the links among a task's members join, no more than make a forest."""
+    labels = t.column("label").to_numpy()
+    s = t.column("s").combine_chunks()
+    sizes = np.diff(s.offsets.to_numpy())
+    values, owner = s.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+    _, column, counts = np.unique(values, return_inverse=True, return_counts=True)
+    again = counts[column] > 1
+    _, column = np.unique(column[again], return_inverse=True)
+    owner = owner[again]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    common = np.zeros((len(sizes), len(sizes)), np.float32)  # counts below 2^24 are exact
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (lo, lo + COLUMNS))
+        x = np.zeros((len(sizes), COLUMNS), np.float32)
+        x[owner[a:b], column[a:b] - lo] = 1
+        common += x @ x.T
+    total = sizes[:, None] + sizes[None, :]
+    linked = (common * 100 >= (total - common) * percent) & (labels[:, None] < labels[None, :])
+    parent: dict[int, int] = {}
+    out = []
+    for p, q in set(zip(*(labels[k].tolist() for k in np.nonzero(linked | linked.T)), strict=True)):
+        a, b = _root(parent, p), _root(parent, q)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((p, q))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+
+def _root(parent: dict[int, int], x: int) -> int:
+    while x in parent:
+        x = parent[x]
+    return x
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K) -> DataFrame:
@@ -202,15 +261,16 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K) -
     linked = _verified(written(_estimated(first, classes, first.count())), docs, words, percent)
     joint = written(components(linked))
 
-    # What is still apart under one hub.
+    # What is still apart under one hub: only members that may be linked with another component meet.
     labelled = written(members.join(joint, "node", "left").select("hub", "node", "n", F.coalesce("label", "node").alias("label")))
     several = labelled.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi").select("hub", "rows")
-    apart = written(join_keyed(labelled, written(several), "hub", "rows", labelled.count()).select("node", "n", "label").distinct())
-    second = written(prefix_pairs(apart, docs, words, percent))
-    between = _verified(written(_estimated(second, classes, second.count())), docs, words, percent)
-    labels = apart.select("node", "label")
-    ends = between.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-    merged = components(ends).toDF("of", "top")
+    under_several = written(join_keyed(labelled, written(several), "hub", "rows", labelled.count()))
+    apart = written(under_several.select("node", "n", "label").distinct())
+    sets = written(_needed_sets(docs, apart.select("node"), words).join(apart, "node"))
+    may = written(candidates(apart, sets, percent))
+    tasks = _blocks(written(under_several.join(may, "node")))
+    between = tasks.join(sets.select("node", "s"), "node").groupBy("hub", "i", "j").applyInArrow(lambda t: _joins(t, percent), "a long, b long")
+    merged = components(between).toDF("of", "top")
 
     # From classes back to rows.
     named = classes.select("key", "node", "copies").join(joint, "node", "left").withColumn("label", F.coalesce("label", "node"))
