@@ -1,38 +1,106 @@
 """Keyword candidates: counted n-grams, filtered and scored.
 
-Documents are dealt by id once, before n-grams are made; counting and ranking then need no further
-exchange, and what is shuffled is text, not its n-grams.
+A document is one row, so its n-grams are counted, and without a scorer also ranked, in its own row. Words are cut natively.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import heapq
+import math
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postsieve.functions import terms
+from postsieve.session import ship
 from postsieve.settings import DEFAULT, Settings
 
 
+COUNTED = "source string, term string, count int, ngram_size int"
+#: Rows of a batch that a task returns, more or less.
+BATCH = 1 << 16
+
+
+def _cut(docs: DataFrame, *keep: str) -> DataFrame:
+    """The words of subject and body, and columns that stay."""
+    ship(docs.sparkSession)
+    words = lambda c: terms.tokens(F.coalesce(F.col(c), F.lit(""))).alias(c)
+    return docs.select("doc_id", *keep, words("subject"), words("body"))
+
+
+def _counted(words: list[str], most: int, least: int) -> Iterator[tuple[str, int, int]]:
+    """(term, count, words in it) of all runs of up to ``most`` words; a run's words hold no blank, so sizes don't mix."""
+    for n in range(1, most + 1):
+        runs = words if n == 1 else map(" ".join, zip(*(words[i:] for i in range(n)), strict=False))
+        for term, count in Counter(runs).items():
+            if len(term) >= least:
+                yield term, count, n
+
+
+def _rows(cut: DataFrame, schema: str, of) -> DataFrame:
+    """Rows that ``of`` makes of each row's subject words and body words, after the row's other columns. Texts are read where they lie: nothing is shuffled."""
+    names = [c for c in cut.columns if c not in ("subject", "body")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+    fields = [(n, kinds[k]) for n, k in (f.split() for f in schema.split(", "))]
+
+    def batch(held: list[tuple], rows: list[int], b: pa.RecordBatch) -> pa.RecordBatch:
+        kept = b.select(names).take(pa.array(rows, pa.int64()))
+        columns = list(zip(*held, strict=True)) if held else [()] * len(fields)
+        return pa.record_batch([*kept.columns, *(pa.array(c, k) for c, (_, k) in zip(columns, fields, strict=True))], names=[*names, *(n for n, _ in fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held, rows = [], []
+            for i, (subject, body) in enumerate(zip(b.column("subject").to_pylist(), b.column("body").to_pylist(), strict=True)):
+                made = of(subject, body)
+                held += made
+                rows += [i] * len(made)
+                if len(held) >= BATCH:
+                    yield batch(held, rows, b)
+                    held, rows = [], []
+            yield batch(held, rows, b)
+
+    return cut.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in cut.dtypes if n in names) + f", {schema}")
+
+
 def build(docs: DataFrame, s: Settings = DEFAULT, lemmas: DataFrame | None = None) -> DataFrame:
-    """doc_id, candidate_id, source, term, count, lemma, ngram_size of ``docs`` (doc_id, subject, body).
+    """doc_id, candidate_id, source, term, count, lemma, ngram_size of ``docs`` (doc_id, subject, body), one row of which is one document.
 
     ``lemmas`` (form, lemma) is joined word by word; without it a term is its own lemma, in lower case.
     """
-    dealt = docs.select("doc_id", F.coalesce("subject", F.lit("")).alias("subject"), F.coalesce("body", F.lit("")).alias("body")).repartition("doc_id")
-    cut = dealt.select("doc_id", terms.tokens(F.col("subject")).alias("subject"), terms.tokens(F.col("body")).alias("body"))
-
-    def named(source: str, n: int):
-        return F.transform(terms.ngrams(F.col(source), n), lambda t: F.struct(F.lit(source).alias("source"), F.lit(n).alias("n"), t.alias("term")))
-
-    runs = [named(source, n) for source in ("subject", "body") for n in range(1, s.max_ngram + 1)]
-    rows = cut.select("doc_id", F.explode(F.concat(*runs)).alias("x")).select("doc_id", "x.*").filter(F.length("term") >= s.min_term_length)
-    counted = rows.groupBy("doc_id", "source", "term").agg(F.count(F.lit(1)).cast("int").alias("count"), F.min("n").alias("ngram_size"))
+    most, least = s.max_ngram, s.min_term_length
+    of = lambda subject, body: [(source, *row) for source, words in (("subject", subject), ("body", body)) for row in _counted(words, most, least)]
+    counted = _rows(_cut(docs), COUNTED, of)
     made = counted.withColumn("candidate_id", terms.stable_id(F.col("source"), F.col("term"))).withColumn("lemma", F.lower("term"))
     return _lemmatised(made, lemmas) if lemmas is not None else made
 
 
+def best(docs: DataFrame, most: int | None = None, s: Settings = DEFAULT, stop_words: tuple[str, ...] = terms.STOP_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The ``most`` best candidates of each document (all without it), filtered, scored without embeddings and ranked where its text lies: no shuffle.
+
+    Columns as those of ``ranked``, and ``keep``.
+    """
+    stop, bad = frozenset(stop_words), re.compile("|".join(f"(?:{p})" for p in terms.BLACKLIST), re.IGNORECASE | re.ASCII)
+    (a, _, c), n, least = (s.weight_count, s.weight_embedding, s.weight_subject), s.max_ngram, s.min_term_length
+
+    def of(subject: list[str], body: list[str]) -> list[tuple]:
+        found = []
+        for source, words, extra in (("subject", subject, c), ("body", body, 0.0)):
+            for term, count, size in _counted(words, n, least):
+                if term not in stop and not bad.search(term):
+                    score = a * math.log1p(count) / 5.0 + extra
+                    found.append((-round(score, 12), source == "body", -count, term, size, score))
+        order = sorted(found) if most is None else heapq.nsmallest(most, found)
+        return [("body" if body_ else "subject", term, -count, size, score, rank) for rank, (_, body_, count, term, size, score) in enumerate(order, 1)]
+
+    made = _rows(_cut(docs, *keep), f"{COUNTED}, composite_score double, rank int", of)
+    return made.withColumns({"candidate_id": terms.stable_id(F.col("source"), F.col("term")), "lemma": F.lower("term"), "embedding_score": F.lit(0.0)})
+
+
 def _lemmatised(made: DataFrame, lemmas: DataFrame) -> DataFrame:
     """Each distinct term is lemmatised once."""
     words = made.select("term").distinct().select("term", F.posexplode(F.split("term", " ")).alias("i", "form"))
@@ -75,7 +143,7 @@ def ranked(rows: DataFrame) -> DataFrame:
 
 
 def extract(docs: DataFrame, s: Settings = DEFAULT, scorer: Scorer | None = None) -> DataFrame:
-    return ranked(scored(filtered(build(docs, s), least=s.min_term_length), docs, scorer, s))
+    return best(docs, s=s) if scorer is None else ranked(scored(filtered(build(docs, s), least=s.min_term_length), docs, scorer, s))
 
 
 def stats(docs: DataFrame, s: Settings = DEFAULT) -> DataFrame:

@@ -15,6 +15,9 @@ from postsieve.session import ship
 CONFIDENCE = {"regex": 0.95, "lexicon": 0.85, "ner": 0.75}
 PRIORITY = ("regex", "lexicon", "ner")
 
+#: Characters of a lexicon that may be broadcast.
+SMALL = 8 << 20
+
 ENTITY = "struct<start:int,end:int,text:string,label:string,source:string,confidence:double>"
 _COLUMNS = "doc_id long, start int, end int, text string, label string, source string, confidence double"
 
@@ -23,12 +26,12 @@ def by_regex(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Matches of a label's patterns in its texts.
 
     ``texts``: doc_id, label_id, text. ``lexicon``: label_id, lemma, regex_pattern. Patterns are grouped
-    by label and joined once per text; they run in Python, whose syntax they are written in, compiled
+    by label and stand beside each text; they run in Python, whose syntax they are written in, compiled
     once per worker. Invalid and missing ones match nothing. Matching ignores case.
     """
     ship(texts.sparkSession)
     entries = lexicon.filter("lemma is not null and regex_pattern is not null").groupBy("label_id").agg(F.array_sort(F.collect_set(F.struct("lemma", "regex_pattern"))).alias("entries"))
-    joined = texts.join(entries, "label_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "entries")
+    joined = _beside(texts, entries, "lemma", "regex_pattern", lexicon).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "entries")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -62,21 +65,31 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch({f.split()[0]: pa.array(c, k) for f, c, k in zip(_COLUMNS.split(", "), columns, kinds, strict=True)})
 
 
+def _beside(texts: DataFrame, entries: DataFrame, lemma: str, forms: str, lexicon: DataFrame) -> DataFrame:
+    """Texts with their label's entries. A lexicon of up to ``SMALL`` characters is broadcast, so texts stay where they are, however few labels there are; a larger one is joined by a shuffle."""
+    size = lexicon.agg(F.coalesce(F.sum(F.length(lemma) + F.length(F.col(forms).cast("string"))), F.lit(0))).first()[0]
+    return texts.join(F.broadcast(entries) if size <= SMALL else entries, "label_id")
+
+
 def by_lexicon(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Whole-word hits of a label's surface forms (label_id, lemma, surface_forms), any case; one row per span and lemma.
+    """Whole-word hits of a label's surface forms (label_id, lemma, surface_forms), any case; one row per span and lemma of each text.
 
-    Native: a form is looked up at the places where a word starts. Each text keeps its own row, so no
-    shuffle grows with the texts.
+    Native: a form is looked up at the places where a word starts. Forms are gone through within a text's row; only its hits leave it.
     """
     forms = lexicon.filter("lemma is not null").select("label_id", "lemma", F.explode("surface_forms").alias("form")).filter("form <> ''")
     grouped = forms.groupBy("label_id").agg(F.array_sort(F.collect_set(F.struct("lemma", F.lower("form").alias("form")))).alias("forms"))
-    joined = texts.join(grouped, "label_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.explode("forms").alias("f")).select("doc_id", "text", F.lower("text").alias("low"), "f.lemma", "f.form").filter(F.contains("low", F.col("form")))
-    starts = joined.withColumn("p", F.explode(_places(F.col("low"), F.col("form"))))
-    n = F.length("form")
-    alone = lambda c: ~F.coalesce(c.rlike(r"[\p{L}\p{N}]"), F.lit(False))
-    before, after = F.when(F.col("p") > 1, F.substring(F.col("low"), F.col("p") - 1, F.lit(1))), F.substring(F.col("low"), F.col("p") + n, F.lit(1))
-    hits = starts.filter(alone(before) & alone(after)).select("doc_id", (F.col("p") - 1).alias("start"), (F.col("p") - 1 + n).alias("end"), F.substring(F.col("text"), F.col("p"), n).alias("text"), F.col("lemma").alias("label"), F.lit("lexicon").alias("source"), F.lit(CONFIDENCE["lexicon"]).alias("confidence"))
-    return hits.dropDuplicates(["doc_id", "start", "end", "label"])
+    rows = _beside(texts, grouped, "lemma", "surface_forms", lexicon).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "forms").withColumn("low", F.lower("text"))
+    low, alone = F.col("low"), lambda c: ~F.coalesce(c.rlike(r"[\p{L}\p{N}]"), F.lit(False))
+
+    def hits(f: Column) -> Column:
+        n = F.length(f["form"])
+        whole = lambda p: alone(F.when(p > 1, F.substring(low, p - 1, F.lit(1)))) & alone(F.substring(low, p + n, F.lit(1)))
+        found = F.filter(_places(low, f["form"]), whole)
+        return F.transform(found, lambda p: F.struct((p - 1).alias("start"), (p - 1 + n).alias("end"), F.substring(F.col("text"), p, n).alias("text"), f["lemma"].alias("label")))
+
+    every = F.array_distinct(F.flatten(F.transform(F.filter("forms", lambda f: F.contains(low, f["form"])), hits)))
+    told = rows.select("doc_id", F.explode_outer(every).alias("h")).filter("h is not null")  # an inner explode would run all twice, for the filter on its size
+    return told.select("doc_id", "h.*", F.lit("lexicon").alias("source"), F.lit(CONFIDENCE["lexicon"]).alias("confidence"))
 
 
 def _places(low: Column, form: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,8 @@ from postsieve.operators import candidates, canonical, classify, dictionary, ent
 from postsieve.plans import oracle as o
 from postsieve.plans import triage
 from postsieve.plans import views as v
-from postsieve.sources import lists
+from postsieve.settings import DEFAULT
+from postsieve.sources import lists, mail
 from postsieve.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +47,35 @@ CANON = f"WITH {o.emails_cte(v.EMAILS)} "
 _NOW = datetime(2024, 1, 31)
 
 
+# Raw mails
+
+#: A raw mail for each document: plain text, text with an attachment, or HTML.
+_HEADERS = """'Message-ID: <m' || CAST(doc_id AS STRING) || '@example.org>' || chr(13) || chr(10) || 'From: Anna Neri <anna.neri@business.com>' || chr(13) || chr(10) || 'To: uno@example.org, due@example.org' || chr(13) || chr(10)
+  || 'Subject: Pratica ' || CAST(doc_id AS STRING) || chr(13) || chr(10) || 'Date: Mon, 01 Jan 2024 10:00:00 +0100' || chr(13) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'References: <a@example.org> <b@example.org>' || chr(13) || chr(10) ELSE '' END || 'MIME-Version: 1.0' || chr(13) || chr(10)"""
+_PLAIN = "'Content-Type: text/plain; charset=utf-8' || chr(13) || chr(10) || 'Content-Transfer-Encoding: 8bit' || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(text, '')"
+_HTML = "'<p>Pratica ' || CAST(doc_id AS STRING) || '</p><ul><li>uno &amp; due</li><li>tre</li></ul><style>p { }</style>'"
+_RAW_MAIL = f"""SELECT doc_id, text, {_HEADERS} || CASE doc_id % 3 WHEN 0 THEN {_PLAIN}
+  WHEN 1 THEN 'Content-Type: multipart/mixed; boundary=xxyyzz' || chr(13) || chr(10) || chr(13) || chr(10) || '--xxyyzz' || chr(13) || chr(10) || {_PLAIN} || chr(13) || chr(10) || '--xxyyzz' || chr(13) || chr(10)
+    || 'Content-Type: application/pdf' || chr(13) || chr(10) || 'Content-Disposition: attachment; filename="nota.pdf"' || chr(13) || chr(10) || 'Content-Transfer-Encoding: base64' || chr(13) || chr(10) || chr(13) || chr(10) || 'JVBERg==' || chr(13) || chr(10) || '--xxyyzz--' || chr(13) || chr(10)
+  ELSE 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || chr(13) || chr(10) || {_HTML} END AS raw FROM documents """
+_MAIL_BODY = "CASE WHEN doc_id % 3 < 2 AND coalesce(text, '') <> '' THEN text WHEN doc_id % 3 < 2 THEN '' ELSE 'Pratica ' || CAST(doc_id AS STRING) || chr(10) || 'uno & due' || chr(10) || 'tre' END"
+
+
+@query(f"""WITH raw AS ({_RAW_MAIL}), b AS (SELECT *, {o.canonical(_MAIL_BODY)} AS body FROM raw), e AS (SELECT *, {o.redacted('body', o.EMAIL, 'EMAIL')} AS t FROM b)
+SELECT 'eml-' || substring(sha256(raw), 1, 32) AS document_id, true AS success, 'Anna Neri <anna.neri@business.com>' AS from_address, 'uno@example.org|due@example.org' AS to_addresses, 'Pratica ' || CAST(doc_id AS VARCHAR) AS subject, '<m' || CAST(doc_id AS VARCHAR) || '@example.org>' AS message_id,
+  CAST(CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS n_references, CASE WHEN doc_id % 3 = 1 THEN 'nota.pdf:application/pdf' ELSE '' END AS attachments, CASE WHEN doc_id % 3 = 1 THEN 'utf-8' ELSE 'utf-8' END AS encoding, CAST(strlen(raw) AS BIGINT) AS raw_size_bytes,
+  md5(CASE WHEN doc_id % 3 < 2 THEN coalesce(text, '') ELSE '' END) AS body_digest, md5(CASE WHEN doc_id % 3 = 2 THEN {_HTML} ELSE '' END) AS html_digest, md5({o.redacted('t', o.PHONE, 'PHONE')}) AS canonical_digest FROM e""")
+def mail_ingest(spark, d):
+    raw = v.over(spark, d, _RAW_MAIL).select(F.col("doc_id").cast("string").alias("path"), F.encode("raw", "UTF-8").alias("content"))
+    out = mail.ingest(raw, store_html=True)
+    digest = lambda c: F.md5(F.encode(F.coalesce(F.col(c), F.lit("")), "UTF-8"))
+    listed = F.transform(F.coalesce("attachments", F.array().cast("array<struct<filename:string,content_type:string,size_bytes:int,content_id:string>>")), lambda a: F.concat_ws(":", a["filename"], a["content_type"]))
+    return out.select(
+        "document_id", "success", "headers.from_address", F.array_join("headers.to_addresses", "|").alias("to_addresses"), "headers.subject", "headers.message_id", F.size("headers.references").cast("long").alias("n_references"), F.array_join(listed, "|").alias("attachments"),
+        F.col("encoding_detected").alias("encoding"), F.col("raw_size_bytes").cast("long").alias("raw_size_bytes"), digest("body_text").alias("body_digest"), digest("body_html").alias("html_digest"), digest("canonical_text").alias("canonical_digest"),
+    )
+
+
 # Canonical text and redaction
 
 
@@ -215,9 +246,9 @@ def _triaged(spark, d) -> DataFrame:
 
 @query(_RAW + _SCORED + _PRIORITY + f" SELECT k.doc_id, k.rank, k.term, k.source, k.count, round(k.score, 6) AS score, {o.bucket('p.raw_score')} AS priority FROM k JOIN p ON p.doc_id = k.doc_id WHERE k.rank <= 10")
 def triage_topk(spark, d):
-    top = candidates.extract(canon(spark, d)).filter("rank <= 10")
-    urgency = _triaged(spark, d).select("doc_id", F.col("priority.value").alias("priority"))
-    return top.join(urgency, "doc_id").select("doc_id", F.col("rank").cast("long").alias("rank"), "term", "source", "count", F.round("composite_score", 6).alias("score"), "priority")
+    urgent = _triaged(spark, d).withColumn("urgency", F.col("priority.value"))
+    top = candidates.best(urgent, 10, keep=("urgency",))
+    return top.select("doc_id", F.col("rank").cast("long").alias("rank"), "term", "source", "count", F.round("composite_score", 6).alias("score"), F.col("urgency").alias("priority"))
 
 
 # Status, deadlines, priority
@@ -273,6 +304,7 @@ k AS (SELECT doc_id, topic, label_id, i - 1 AS keyword, t ->> ('$.keywords_in_te
 bad_schema AS (SELECT doc_id, count(*) AS n FROM (
   SELECT doc_id FROM j WHERE j IS NULL
   UNION ALL SELECT doc_id FROM j WHERE j IS NOT NULL AND (j -> '$.sentiment') IS NULL
+  UNION ALL SELECT doc_id FROM j WHERE j IS NOT NULL AND (j ->> '$.customer_status.source') IS NULL
   UNION ALL SELECT doc_id FROM j WHERE (j ->> '$.sentiment.value') NOT IN ('positive', 'neutral', 'negative')
   UNION ALL SELECT doc_id FROM tt WHERE label_id NOT IN ({', '.join(map(o.quoted, classify.TOPICS))})
   UNION ALL SELECT doc_id FROM tt WHERE TRY_CAST(confidence AS DOUBLE) IS NULL OR NOT TRY_CAST(confidence AS DOUBLE) BETWEEN 0 AND 1) GROUP BY doc_id),
@@ -341,10 +373,12 @@ def classify_offline(spark, d):
 
 
 def _observations(spark, d) -> DataFrame:
-    return v.over(spark, d, v.OBSERVATIONS)
+    words = candidates.filtered(candidates.build(canon(spark, d), replace(DEFAULT, max_ngram=1)))
+    return v.over(spark, d, v.OBSERVED, words=words.select("doc_id", "term", "count"))
 
 
-_STATS = f"WITH obs AS ({v.OBSERVATIONS}), st AS (SELECT label_id, lemma, count(DISTINCT message_id) AS doc_freq, CAST(sum(count) AS BIGINT) AS total_count, coalesce(avg(CASE WHEN embedding_score > 0 THEN embedding_score END), 0) AS emb, string_agg(DISTINCT term, ',' ORDER BY term) AS surface_forms FROM obs GROUP BY label_id, lemma)"
+_OBS = CANON + f", words AS (SELECT doc_id, term, count FROM ({o.raw_candidates('canon', (1,))}) WHERE {o.kept()}), obs AS ({v.OBSERVED})"
+_STATS = _OBS + ", st AS (SELECT label_id, lemma, count(DISTINCT message_id) AS doc_freq, CAST(sum(count) AS BIGINT) AS total_count, coalesce(avg(CASE WHEN embedding_score > 0 THEN embedding_score END), 0) AS emb, string_agg(DISTINCT term, ',' ORDER BY term) AS surface_forms FROM obs GROUP BY label_id, lemma)"
 
 
 @query(_STATS + " SELECT label_id, lemma, doc_freq, total_count, round(emb, 9) AS avg_embedding_score, surface_forms FROM st")
@@ -399,13 +433,13 @@ def active_lexicon(spark, d):
     return dictionary.active(_lexicon(spark, d), 2, "ner").select("label_id", "lemma", F.array_join("surface_forms", ",").alias("surface_forms"))
 
 
-@query(f"WITH obs AS ({v.OBSERVATIONS}) SELECT message_id, label_id, lemma, term, count, observed_at FROM obs WHERE observed_at >= TIMESTAMP '2024-01-21 00:00:00' AND label_id = 'DOCUMENTI'")
+@query(_OBS + " SELECT message_id, label_id, lemma, term, count, observed_at FROM obs WHERE observed_at >= TIMESTAMP '2024-01-21 00:00:00' AND label_id = 'DOCUMENTI'")
 def recent_observations(spark, d):
     rows = _observations(spark, d).withColumn("obs_id", F.concat_ws("|", F.col("message_id").cast("string"), "label_id", "lemma"))
     return dictionary.recent(rows, _NOW, 10, "DOCUMENTI", None).select("message_id", "label_id", "lemma", "term", "count", "observed_at")
 
 
-@query(f"WITH obs AS ({v.OBSERVATIONS}) SELECT label_id, count(*) AS n, CAST(count(*) FILTER (WHERE message_id % 5 = 0) AS BIGINT) AS promoted FROM obs GROUP BY label_id")
+@query(_OBS + " SELECT label_id, count(*) AS n, CAST(count(*) FILTER (WHERE message_id % 5 = 0) AS BIGINT) AS promoted FROM obs GROUP BY label_id")
 def mark_promoted(spark, d):
     rows = _observations(spark, d).withColumn("obs_id", F.sha1(F.concat_ws("|", F.col("message_id").cast("string"), "label_id", "lemma", "term").cast("binary"))).withColumn("promoted_to_active", F.lit(False))
     marked = dictionary.mark_promoted(rows, rows.filter("message_id % 5 = 0").select("obs_id"))
@@ -527,11 +561,12 @@ def eval_sentiment(spark, d):
     return out.select(*(F.round(c, 9).alias(c) for c in out.columns))
 
 
-@query(CANON + _TOLD + " SELECT value, count(*) AS n, round(avg(CAST(confidence AS DOUBLE)), 9) AS mean_confidence, round(quantile_cont(CAST(confidence AS DOUBLE), 0.5), 9) AS median_confidence, count(*) FILTER (WHERE doc_id % 5 = 0 AND value = 'new') AS false_new FROM told GROUP BY value")
+@query(CANON + _TOLD + " SELECT value, count(*) AS n, round(avg(CAST(confidence AS DOUBLE)), 9) AS mean_confidence, round(quantile_cont(CAST(confidence AS DOUBLE), 0.5), 9) AS median_confidence, round(quantile_cont(CAST(confidence AS DOUBLE), 0.25), 9) AS confidence_p25, round(quantile_cont(CAST(confidence AS DOUBLE), 0.75), 9) AS confidence_p75, round(count(*) / (SELECT count(*) FROM told), 9) AS share, count(*) FILTER (WHERE doc_id % 5 = 0 AND value = 'new') AS false_new, round(count(*) FILTER (WHERE doc_id % 5 = 0 AND value = 'new') / count(*), 9) AS false_new_rate FROM told GROUP BY value")
 def eval_status(spark, d):
     rows = _triaged(spark, d).select("customer_status.*", F.when(F.col("doc_id") % 5 == 0, "existing").otherwise("new").alias("status_true"))
     out = evaluate.customer_status(rows)
-    return out.select("value", "n", F.round("mean_confidence", 9).alias("mean_confidence"), F.round("median_confidence", 9).alias("median_confidence"), "false_new")
+    rounded = ("mean_confidence", "median_confidence", "confidence_p25", "confidence_p75", "share", "false_new_rate")
+    return out.select("value", "n", "false_new", *(F.round(c, 9).alias(c) for c in rounded))
 
 
 _HEALTH = """, lx AS (SELECT * FROM promoted), bl AS (SELECT lemma, count(DISTINCT label_id) AS n FROM lx GROUP BY lemma)"""
@@ -555,24 +590,45 @@ def dict_churn(spark, d):
     return out.withColumn("churn_rate", F.round("churn_rate", 9))
 
 
-_CHI = f"WITH obs AS ({v.OBSERVATIONS}), c AS (SELECT label_id, count(*) FILTER (WHERE observed_at >= TIMESTAMP '2024-01-16 00:00:00') AS a, count(*) FILTER (WHERE observed_at < TIMESTAMP '2024-01-16 00:00:00') AS b FROM obs GROUP BY label_id), s AS (SELECT sum(a) AS ta, sum(b) AS tb FROM c), e AS (SELECT a, b, (a + b) * ta / (ta + tb) AS ea, (a + b) * tb / (ta + tb) AS eb FROM c, s)"
+_CHI = _OBS + ", c AS (SELECT label_id, count(*) FILTER (WHERE observed_at >= TIMESTAMP '2024-01-16 00:00:00') AS a, count(*) FILTER (WHERE observed_at < TIMESTAMP '2024-01-16 00:00:00') AS b FROM obs GROUP BY label_id), s AS (SELECT sum(a) AS ta, sum(b) AS tb FROM c), e AS (SELECT a, b, (a + b) * ta / (ta + tb) AS ea, (a + b) * tb / (ta + tb) AS eb FROM c, s)"
+
 
+# What a chi-square variable of 1 to 10 degrees of freedom exceeds with a chance of a twentieth.
+_CRITICAL = (3.841459, 5.991465, 7.814728, 9.487729, 11.070498, 12.591587, 14.06714, 15.507313, 16.918978, 18.307038)
 
-@query(_CHI + " SELECT round(coalesce(sum((a - ea) * (a - ea) / nullif(ea, 0) + (b - eb) * (b - eb) / nullif(eb, 0)), 0), 6) AS chi2, count(*) - 1 AS dof FROM e")
+
+@query(_CHI + f", r AS (SELECT round(coalesce(sum((a - ea) * (a - ea) / nullif(ea, 0) + (b - eb) * (b - eb) / nullif(eb, 0)), 0), 6) AS chi2, count(*) - 1 AS dof FROM e) SELECT chi2, dof, chi2 > CASE dof {' '.join(f'WHEN {k + 1} THEN {x}' for k, x in enumerate(_CRITICAL))} END AS drift_detected FROM r")
 def drift_chi2(spark, d):
     obs = _observations(spark, d)
     late = F.col("observed_at") >= F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
-    return evaluate.chi_square(obs.filter(late), obs.filter(~late)).select(F.round("chi2", 6).alias("chi2"), "dof")
+    return evaluate.chi_square(obs.filter(late), obs.filter(~late)).select(F.round("chi2", 6).alias("chi2"), "dof", "drift_detected")
+
+
+_LEXICONS = ", act AS (SELECT * FROM promoted WHERE decision LIKE '%active'), o AS (SELECT * FROM act WHERE length(lemma) % 3 < 2), w AS (SELECT * FROM act WHERE length(lemma) % 3 > 0), ch AS (SELECT count(*) FILTER (WHERE o.lemma IS NULL OR w.lemma IS NULL) / count(w.lemma) AS c FROM o FULL JOIN w ON o.label_id = w.label_id AND o.lemma = w.lemma AND o.decision = w.decision)"
 
 
-@query(_PROMOTED + _HEALTH + ", r AS (SELECT avg(CAST(n > 1 AS INT)) AS c FROM bl), a AS (SELECT avg(CAST(decision LIKE '%active' AS INT)) AS p FROM promoted) SELECT 'collision_rate' AS metric, round(c, 9) AS value, 'ambiguous' AS alert FROM r WHERE c > 0.15 UNION ALL SELECT 'churn_rate', 0.5, 'unstable' UNION ALL SELECT 'promotion_rate', round(p, 9), CASE WHEN p < 0.02 THEN 'too_strict' ELSE 'too_lax' END FROM a WHERE p < 0.02 OR p > 0.5")
+@query(_PROMOTED + _HEALTH + _LEXICONS + f""", outputs AS ({v.OUTPUTS}), m AS (SELECT avg(CASE WHEN json_valid(json) THEN 0.0 ELSE 1.0 END) AS e FROM outputs), r AS (
+  SELECT 'collision_rate' AS metric, avg(CAST(n > 1 AS INT)) AS value, 0.15 AS most, 'ambiguous' AS alert FROM bl UNION ALL SELECT 'churn_rate', c, 0.3, 'unstable' FROM ch
+  UNION ALL SELECT 'promotion_rate', avg(CAST(decision LIKE '%active' AS INT)), 0.5, 'too_lax' FROM promoted UNION ALL SELECT 'validation_error_rate', e, 0.05, 'invalid_output' FROM m
+  UNION ALL SELECT 'unknown_topic_rate', avg(CAST({v.label_of('doc_id')} = 'UNKNOWN_TOPIC' AS INT)), 0.2, 'unknown_topics' FROM outputs UNION ALL SELECT 'under_triage_rate', avg(CAST(doc_id % 4 = 3 AS INT)), 0.1, 'under_triage' FROM outputs)
+SELECT metric, round(value, 9) AS value, alert FROM r WHERE value > most UNION ALL SELECT metric, round(value, 9), 'too_strict' FROM r WHERE metric = 'promotion_rate' AND value < 0.02""")
 def alerts(spark, d):
     lexicon = _lexicon(spark, d)
+    active = lexicon.filter("status = 'active'")
     rate = lexicon.agg(F.avg((F.col("status") == "active").cast("double")).alias("promotion_rate"))
-    health = evaluate.dictionary_health(lexicon).join(rate).withColumn("churn_rate", F.lit(0.5))
+    broken = F.get_json_object("json", "$.dictionary_version").isNull()
+    model = _outputs(spark, d).agg(
+        F.avg(broken.cast("double")).alias("validation_error_rate"), F.avg((F.expr(v.label_of("doc_id")) == "UNKNOWN_TOPIC").cast("double")).alias("unknown_topic_rate"), F.avg((F.col("doc_id") % 4 == 3).cast("double")).alias("under_triage_rate"),
+    )
+    health = evaluate.dictionary_health(lexicon).join(rate).join(evaluate.churn(active.filter("length(lemma) % 3 < 2"), active.filter("length(lemma) % 3 > 0"))).join(model)
     return evaluate.alerts(health).withColumn("value", F.round("value", 9))
 
 
+@query(_PROMOTED + " SELECT DISTINCT label_id, lemma, doc_freq FROM promoted WHERE decision = 'quarantined' AND doc_freq > 10")
+def quarantine_queue(spark, d):
+    return evaluate.quarantine_queue(_lexicon(spark, d)).select("label_id", "lemma", "doc_freq")
+
+
 _RUN_A, _RUN_B = (f"SELECT doc_id, {v.label_of('doc_id')} AS l1, {v.label_of(f'doc_id + CASE WHEN doc_id % 7 = 0 THEN {i} ELSE 2 END')} AS l2 FROM documents " for i in (2, 4))
 
 

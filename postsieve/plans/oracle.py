@@ -78,9 +78,9 @@ def emails_cte(emails: str) -> str:
     return f"emails AS ({emails}), canon AS (SELECT doc_id, from_address, subject, {canonical('body')} AS body FROM emails)"
 
 
-def raw_candidates(table: str) -> str:
+def raw_candidates(table: str, sizes: tuple[int, ...] = (1, 2, 3)) -> str:
     parts = " UNION ALL ".join(
-        f"SELECT doc_id, '{source}' AS source, {n} AS n, unnest({ngrams('t', n)}) AS term FROM (SELECT doc_id, {tokens(source)} AS t FROM {table})" for source in ("subject", "body") for n in (1, 2, 3)
+        f"SELECT doc_id, '{source}' AS source, {n} AS n, unnest({ngrams('t', n)}) AS term FROM (SELECT doc_id, {tokens(source)} AS t FROM {table})" for source in ("subject", "body") for n in sizes
     )
     return f"SELECT doc_id, source, term, CAST(count(*) AS INT) AS count, min(n) AS ngram_size, substring(sha1(source || '|' || term), 1, 12) AS candidate_id FROM ({parts}) WHERE length(term) >= 3 GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY doc_id, source, term")
 

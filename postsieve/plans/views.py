@@ -14,7 +14,7 @@ SELECT d.doc_id,
   CASE WHEN d.doc_id % 10 = 0 THEN 'Mario.Rossi@example.com'
        WHEN d.doc_id % 10 = 1 THEN 'utente' || CAST(d.doc_id % 7 AS STRING) || '@cliente.it'
        WHEN d.doc_id % 10 = 2 THEN ''
-       ELSE lower(replace(c.c_name, '#', '.')) || '@' || lower(c.c_mktsegment) || '.example.org' END AS from_address,
+       ELSE lower(replace(coalesce(c.c_name, 'ignoto'), '#', '.')) || '@' || lower(coalesce(c.c_mktsegment, 'posta')) || '.example.org' END AS from_address,
   CASE WHEN d.doc_id % 5 = 0 THEN 'URGENTE: problema con la fattura numero ' || CAST(d.doc_id AS STRING)
        WHEN d.doc_id % 5 = 1 THEN 'Re: richiesta di assistenza'
        WHEN d.doc_id % 5 = 2 THEN ''
@@ -28,7 +28,7 @@ SELECT d.doc_id,
   || CASE WHEN d.doc_id % 7 = 5 THEN 'Sono interessato ai vostri servizi, primo contatto. Scadenza: 2024-03-01' || chr(10) ELSE '' END
   || CASE WHEN d.doc_id % 6 = 1 THEN chr(10) || '  Cordiali saluti,' || chr(10) || 'Anna Neri' || chr(10) || 'Ufficio acquisti' || chr(10) ELSE '' END
   || CASE WHEN d.doc_id % 7 = 3 THEN chr(10) || '____________' || chr(10) || 'Questo messaggio resta riservato.' || chr(10) ELSE '' END AS body
-FROM documents d JOIN customer c ON c.c_custkey = d.doc_id % 100
+FROM documents d LEFT JOIN customer c ON c.c_custkey = d.doc_id % 100
 """
 
 #: Words that each mail offers as candidates, and under which topic a model would put them.
@@ -40,7 +40,6 @@ SELECT d.doc_id, w.i, w.lemma, w.lemma AS term, substring(sha1('body|' || w.lemm
 FROM documents d CROSS JOIN (
   SELECT 0 AS i, 'fattura' AS lemma UNION ALL SELECT 1, 'problema' UNION ALL SELECT 2, 'contratto' UNION ALL SELECT 3, 'garanzia'
   UNION ALL SELECT 4, 'spedizione' UNION ALL SELECT 5, 'rimborso') w
-WHERE (d.doc_id + w.i) % 7 <> 5
 """
 
 _LABEL = """CASE ({}) % 10 WHEN 0 THEN 'FATTURAZIONE' WHEN 1 THEN 'ASSISTENZA_TECNICA' WHEN 2 THEN 'RECLAMO' WHEN 3 THEN 'INFO_COMMERCIALI' WHEN 4 THEN 'DOCUMENTI'
@@ -66,7 +65,7 @@ _GOOD = f"""{_topic(_A, _SURE, _keyword('fattura') + " || ',' || " + _keyword('p
 _SIX = " || ',' || ".join(_topic(label_of(f"d.doc_id + {i}"), "'0.4'", _keyword("contratto")) for i in range(6))
 
 #: A model's output for each document, with a fault by its id: broken JSON, a missing field, an unknown candidate, an
-#: unknown label, a topic twice, a keyword twice, six topics, low confidence, a wrong type, an unknown value.
+#: unknown label, a topic twice, a keyword twice, six topics, low confidence, a wrong type, an unknown value, a missing source.
 OUTPUTS = f"""
 SELECT d.doc_id, CASE WHEN d.doc_id % 12 = 0 THEN '{{"dictionary_version":1,"topics":[' ELSE
   '{{"dictionary_version":1,"topics":[' || CASE d.doc_id % 12
@@ -80,23 +79,27 @@ SELECT d.doc_id, CASE WHEN d.doc_id % 12 = 0 THEN '{{"dictionary_version":1,"top
     ELSE {_GOOD} END || ']'
   || CASE WHEN d.doc_id % 12 = 1 THEN '' ELSE ',"sentiment":{{"value":"' || CASE WHEN d.doc_id % 12 = 9 THEN 'angry' WHEN d.doc_id % 4 = 2 THEN 'negative' WHEN d.doc_id % 4 = 3 THEN 'positive' ELSE 'neutral' END || '","confidence":0.8}}' END
   || ',"priority":{{"value":"' || CASE d.doc_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'urgent' END || '","confidence":0.6,"signals":[]}}'
-  || ',"customer_status":{{"value":"new","confidence":0.5}}}}' END AS json
+  || ',"customer_status":{{"value":"new","confidence":0.5' || CASE WHEN d.doc_id % 12 = 10 THEN '' ELSE ',"source":"text_signal"' END || '}}}}' END AS json
 FROM documents d
 """
 
-#: Keyword observations: the offered words of each document, under a label by document and word, at the time of an event.
-OBSERVATIONS = f"""
-SELECT o.doc_id AS message_id, {label_of("o.i * 2 + o.doc_id % (1 + o.i % 4)")} AS label_id, o.lemma || CASE WHEN o.doc_id % 17 = 0 THEN CAST(o.doc_id % 40 AS STRING) ELSE '' END AS lemma,
-  CASE WHEN o.doc_id % 3 = 0 THEN o.term || 'e' ELSE o.term END AS term, CAST(o.n AS INT) AS count, o.embedding_score, e.ts AS observed_at
-FROM ({OFFERED}) o JOIN events e ON e.event_id = o.doc_id * 9 + 3
+#: Keyword observations from ``words`` (doc_id, term, count: the single words that each whole mail offers as candidates): lemmas are six-letter stems, labels go by length
+#: and document, and the time is that of an event, or of the first one where a document has none.
+OBSERVED = f"""
+SELECT w.doc_id AS message_id, {label_of("length(w.term) + CASE WHEN w.doc_id % 19 = 0 THEN 3 ELSE 0 END")} AS label_id, substring(w.term, 1, 6) AS lemma, w.term, w.count,
+  CAST((length(w.term) * 13 + w.count * 7) % 64 AS DOUBLE) / 64 AS embedding_score, coalesce(e.ts, (SELECT min(ts) FROM events )) AS observed_at
+FROM words w LEFT JOIN events e ON e.event_id = w.doc_id * 9 + 3
 """
 
 TABLES = ("documents", "customer", "conversations", "pages", "events", "labels")
 
 
-def over(spark: SparkSession, sf_dir: str, sql: str, tables: tuple[str, ...] = TABLES) -> DataFrame:
-    """A query over the folder's tables, under view names of the folder's own, so that calls on other folders don't collide."""
+def over(spark: SparkSession, sf_dir: str, sql: str, tables: tuple[str, ...] = TABLES, **given: DataFrame) -> DataFrame:
+    """A query over the folder's tables and ``given`` ones, under view names of the folder's own, so that calls on other folders don't collide."""
     mark = hashlib.md5(sf_dir.encode()).hexdigest()[:10]
+    for t, rows in given.items():
+        rows.createOrReplaceTempView(f"postsieve_{mark}_{t}")
+        sql = sql.replace(f"FROM {t} ", f"FROM postsieve_{mark}_{t} ").replace(f"JOIN {t} ", f"JOIN postsieve_{mark}_{t} ")
     for t in tables:
         if f"FROM {t} " in sql or f"JOIN {t} " in sql:
             load(spark, sf_dir, t).createOrReplaceTempView(f"postsieve_{mark}_{t}")

@@ -40,10 +40,20 @@ def test_scorer_and_lemmas(spark):
     assert scores["clienti"] == 0.8 and scores["fatture"] == 0.0
 
 
-def test_candidates_need_one_exchange(spark):
+def test_candidates_need_no_exchange(spark):
     docs = frame(spark, [(1, "a", "b")], "doc_id long, subject string, body string")
-    plan = candidates.extract(docs)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    for made in (candidates.extract(docs), candidates.best(docs, 3), candidates.build(docs)):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_equals_ranked_candidates(spark):
+    words = ["la", "fattura", "problema", "123", "re", "cliente", "urgente", "è", "già", "l'ordine", "Fattura"]
+    rng = random.Random(2)
+    docs = frame(spark, [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(6))), " ".join(rng.choice(words) for _ in range(rng.randrange(60)))) for i in range(40)] + [(99, None, None)], "doc_id long, subject string, body string")
+    want = candidates.ranked(candidates.scored(candidates.filtered(candidates.build(docs))))
+    cols = ["doc_id", "rank", "source", "term", "count", "ngram_size", "candidate_id", "lemma"]
+    read = lambda df: sorted((*(r[c] for c in cols), round(r.composite_score, 9)) for r in df.collect())
+    assert read(candidates.extract(docs)) == read(want) and read(candidates.best(docs, 4)) == read(want.filter("rank <= 4"))
 
 
 # Status and priority
@@ -104,6 +114,7 @@ def test_validation(spark):
         (output(topics=[topic(label_id="ALTRO")]), ["Schema violation at topics.0.label_id"], False), (output(topics=[topic(evidence=[])]), ["Schema violation at topics.0.evidence"], False),
         (output(topics=[topic(keywords_in_text=[{"candidate_id": "zz", "lemma": "l", "count": 1}])]), ["Invalid candidate_id in topic 0, keyword 0: zz"], True), (output(sentiment={"value": "angry", "confidence": 0.1}), ["Schema violation at sentiment.value"], False),
         (output(topics=[topic(keywords_in_text=[{"candidate_id": "c1", "lemma": "l", "count": 0}])]), ["Schema violation at topics.0.keywords_in_text.0.count"], False), (output(topics=[]), [], False),
+        (output(customer_status={"value": "new", "confidence": 0.5}), ["Schema violation at customer_status.source"], False),
     ]
     for row, (_, errors, retry) in zip(validated(spark, *(c[0] for c in cases)).collect(), cases, strict=True):
         assert (row.errors, row.should_retry, row.valid) == (errors, retry, not errors)
