@@ -1,6 +1,13 @@
 import random
+import re
+import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from test_dedup import edited, linked
+from test_scans import similarity
+from tokenizers import Tokenizer
 
 import corpus_pipeline as p
 from conftest_llm import prose
@@ -74,6 +81,50 @@ def test_run(spark):
     assert p.ORACLE_SQL is None and [n for n, _ in p.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontamination", "packing"]
 
 
+def plain_pipeline(rows, items):
+    """The (doc_id, text) rows that a plain reading of the stages keeps, each row judged by itself."""
+    order = lambda i: (rows[i][0] is None, rows[i][0] or 0, i)
+    kept = [i for i, r in enumerate(rows) if r[1] and any(c.isalpha() for c in r[1])]
+    seen, first = {}, []
+    for i in sorted(kept, key=order):
+        seen.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", rows[i][1]), i)
+    first = sorted(seen.values(), key=order)
+    top = {k: c for k, _, c, _ in linked([(k, rows[i][1]) for k, i in enumerate(first)], 5)}
+    kept = [i for k, i in enumerate(first) if top[k] == k]
+    return sorted(((rows[i][0], rows[i][1]) for i in kept if not any(t and similarity(rows[i][1], t) >= 0.8 for t in items)), key=str)
+
+
+def test_run_equals_a_plain_pipeline(spark, docs, tmp_path):
+    """Every row of the whole run: copies, near copies, passages, texts without letters; ids that are null or repeated, each beside a good twin."""
+    rng = random.Random(21)
+    items = [prose(rng, rng.randrange(12, 50)) for _ in range(6)] + [None]
+    texts = [prose(rng, rng.randrange(1, 150)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    for k in range(60):
+        t = rng.choice(texts)
+        i = rng.choice([None, 100 + k, rng.randrange(60)])
+        rows.append((i, rng.choice([t, t + " ", edited(rng, t, rng.randrange(4)), f"{prose(rng, rng.randrange(1, 60))} {rng.choice(items[:-1])} {prose(rng, 5)}", prose(rng, 70), "12 34", None, ""])))
+    rows += [(None, None), (None, prose(rng, 60)), (3, "77"), (3, prose(rng, 60)), (5, f"{items[0]} {prose(rng, 40)}"), (5, prose(rng, 40))]
+    docs([(i, t, "it") for i, t in rows]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table = queries.table(spark, str(tmp_path), "documents")
+    # Rows in the order in which they are numbered, which decides among rows of equal ids.
+    rows = [(r.doc_id, r.text) for r in table.withColumn("at", F.monotonically_increasing_id()).orderBy("at").collect()]
+    want = plain_pipeline(rows, items)
+    for _, stage in p.STAGES[:-1]:
+        table = p.written(stage(spark, table, str(tmp_path)))
+    assert sorted(((r.doc_id, r.text) for r in table.collect()), key=str) == want
+    ids = {}
+    for r in p.run(spark, str(tmp_path)).collect():
+        assert r.start + r.length <= 2048
+        ids.setdefault(r.doc_id, []).append(r.ids_crc32)
+    lib = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json"))
+    crc = {}
+    for i, t in want:
+        crc.setdefault(i, []).append(zlib.crc32(np.array([*lib.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()))
+    assert {k: sorted(x) for k, x in ids.items()} == {k: sorted(x) for k, x in crc.items()}
+
+
 def test_queries_run_and_name_all_operators(spark):
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
 
