@@ -44,7 +44,7 @@ K = 64
 #: Shares of a sketch that a linked pair has in common at least (4.4 and 4 standard deviations below 0.8 for K = 64).
 LEAST_SHARE, LEAST_ESTIMATE = 0.575, 0.6
 #: Members and shingles of a block, and columns of a task's matrix at once.
-BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 200_000, 8192
+BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 100_000, 8192
 #: Bits (as a power of two) of the map of needed documents, for each of which it has ``SPARSE`` bits; bits of a chunk of it.
 MAP_BITS, SPARSE, CHUNK = 27, 16, 32768
 MAPS = ["m0", "m1", "m2", "m3"]
