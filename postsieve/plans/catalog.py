@@ -483,6 +483,16 @@ def entities_regex(spark, d):
     return hits.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("start").cast("long").alias("first_start"), F.sum("end").cast("long").alias("ends"))
 
 
+_TRIED = [(lemma, pattern) for _, lemma, pattern in _PATTERNS]
+
+
+@query(CANON + " " + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS name, CAST(len(m) AS BIGINT) AS n, coalesce(m[1], '') AS first_match FROM (SELECT doc_id, {'regexp_extract_all(body, ' + o.quoted(p) + ')' if n != 'rotto' else '[]::VARCHAR[]'} AS m FROM canon)" for n, p in _TRIED))
+def pattern_test(spark, d):
+    texts = canon(spark, d).select("doc_id", F.col("body").alias("text"))
+    found = dictionary.pattern_matches(texts, spark.createDataFrame(_TRIED, "name string, pattern string"))
+    return found.select("doc_id", "name", F.size("matches").cast("long").alias("n"), F.coalesce(F.get("matches", F.lit(0)), F.lit("")).alias("first_match"))
+
+
 #: Overlapping spans by id: starts three apart, lengths and sources by modulo.
 SPANS = """SELECT d.doc_id, CAST(w.i * 3 + d.doc_id % 3 AS INT) AS start, CAST(w.i * 3 + d.doc_id % 3 + 2 + (d.doc_id * 5 + w.i * 7) % 9 AS INT) AS "end", 't' || CAST(w.i AS STRING) AS text, 'l' || CAST(w.i % 3 AS STRING) AS label,
 CASE (d.doc_id + w.i * 2) % 3 WHEN 0 THEN 'regex' WHEN 1 THEN 'lexicon' ELSE 'ner' END AS source, CAST(50 + (d.doc_id + w.i) % 50 AS DOUBLE) / 100 AS confidence

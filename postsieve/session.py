@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -37,9 +38,14 @@ def ship(spark: SparkSession) -> None:
 def work_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the setting is missing (tests on one machine) a temporary folder takes its place.
+    Only where the setting is missing and all runs on one machine (tests) a temporary folder takes its place; executors of a
+    cluster wouldn't see each other's files in one, so there the setting is required.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/postsieve-checkpoints"
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.match(r"local(\[[^,]*(,\s*\d+)?\])?$", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = tempfile.gettempdir() + "/postsieve-checkpoints"
     return f"{top.rstrip('/')}/postsieve/{uuid.uuid4().hex}"
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from collections.abc import Mapping
+from dataclasses import dataclass, fields, replace
 
 
 @dataclass(frozen=True)
@@ -18,6 +20,7 @@ class Settings:
     weight_subject: float = 0.2
     prompt_candidates: int = 100
     prompt_body: int = 8000
+    # Known senders.
     known_domains: tuple[str, ...] = ("company.com", "cliente.it")
     known_emails: tuple[str, ...] = ("mario.rossi@example.com", "giulia.bianchi@company.it", "paolo.verdi@cliente.it", "anna.neri@business.com", "francesco.bruno@test.it")
     crm_enabled: bool = True
@@ -45,6 +48,25 @@ class Settings:
 
 DEFAULT = Settings()
 
+
+def configured(given: Mapping[str, str], base: Settings = DEFAULT) -> Settings:
+    """Settings with the given values, by name in any case (``POSTSIEVE_MAX_NGRAM``, ``postsieve.max_ngram``, ``max_ngram``); others are ignored.
+
+    Texts become the type that the setting has; lists are separated by commas. ``os.environ`` and a session's configuration will do.
+    """
+    found = {}
+    for name, text in given.items():
+        key = re.sub(r"^postsieve[._]", "", name.lower())
+        if key in (known := {f.name: getattr(base, f.name) for f in fields(base)}):
+            kind = type(known[key])
+            if kind is bool:
+                found[key] = text.strip().lower() in ("1", "true", "yes", "on")
+            elif kind is tuple:
+                found[key] = tuple(x.strip() for x in text.split(",") if x.strip())
+            else:
+                found[key] = kind(text)
+    return replace(base, **found)
+
 #: One registry of the versions that a result depends on.
 VERSIONS = {
     "dictionary_version": 1, "model_version": "offline-rules-1.0.0", "parser_version": "parser-1.0.0", "stoplist_version": "stop-it-1.0.0",

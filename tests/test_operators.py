@@ -180,6 +180,21 @@ def test_safe_regex(spark):
     assert not re.search(row[1].r, "anything") and not re.search(row[0].r, "axb")
 
 
+def test_pattern_matches(spark):
+    texts = frame(spark, [(1, "Fattura 12 e fattura 345"), (2, None)], "doc_id long, text string")
+    patterns = frame(spark, [("whole", "[0-9]+"), ("group", "(?i)(fattura) [0-9]"), ("two", "([a-z]+) ([0-9])"), ("bad", "(")], "name string, pattern string")
+    got = {(r.doc_id, r.name): r.matches for r in dictionary.pattern_matches(texts, patterns).collect()}
+    assert got[1, "whole"] == ["12", "345"] and got[1, "group"] == ["Fattura", "fattura"] and got[1, "two"] == ["attura 1", "fattura 3"] and got[1, "bad"] == [] and got[2, "whole"] == [] and len(got) == 8
+
+
+def test_tool_schema_accepts_what_validation_does():
+    from postsieve.operators.model import tool_schema
+
+    fields = tool_schema()["function"]["parameters"]["properties"]
+    assert fields["topics"]["items"]["properties"]["label_id"]["enum"] == list(classify.TOPICS) and fields["topics"]["maxItems"] == 5
+    assert set(output()) == set(fields) and set(fields["customer_status"]["required"]) == set(output()["customer_status"])
+
+
 def test_versions(spark, tmp_path):
     store = dictionary.Versions(spark, f"file://{tmp_path}/lex")
     assert store.current() == 0

@@ -88,6 +88,44 @@ def test_lists_and_sinks(spark, tmp_path):
     lists.write_results(rows.coalesce(1), f"{tmp_path}/all.json")
     text = "".join(r.value for r in spark.read.text(f"{tmp_path}/all.json").collect())
     assert len(json.loads(text)) == 5
+    lists.write_results(rows.repartition(3), f"{tmp_path}/parts.json")
+    parts = [json.loads(f.read_text()) for f in (tmp_path / "parts.json").glob("part-*")]
+    assert sorted(x["id"] for p in parts for x in p) == list(range(5))
+    lists.write_results(rows.filter("id < 0").coalesce(1), f"{tmp_path}/none.json")
+    assert [json.loads(f.read_text()) for f in (tmp_path / "none.json").glob("part-*")] == [[]]
+
+
+def test_json_documents_and_candidates(spark, tmp_path):
+    (tmp_path / "d.jsonl").write_text('{"document_id":"a","headers":{"subject":"s","to_addresses":["x@y.it"]},"canonical_text":"t","extra":1}\n{broken\n')
+    got = {r.document_id: r for r in lists.read_documents(spark, f"{tmp_path}/d.jsonl").collect()}
+    assert got["a"].headers.to_addresses == ["x@y.it"] and got["a"].canonical_text == "t" and got["a"]._corrupt is None and got[None]._corrupt == "{broken"
+    (tmp_path / "c.jsonl").write_text('{"document_id":"a","candidates":[{"candidate_id":"c1","term":"x","count":2},{"candidate_id":"c2","term":"y","composite_score":0.5}]}\n{"document_id":"b"}\n')
+    rows = sorted((r.document_id, r.candidate_id, r["count"], r.composite_score) for r in lists.read_candidates(spark, f"{tmp_path}/c.jsonl").collect())
+    assert rows == [("a", "c1", 2, None), ("a", "c2", None, 0.5)]
+
+
+def test_settings_from_texts():
+    from dataclasses import replace
+
+    from postsieve.settings import DEFAULT, configured
+
+    got = configured({"POSTSIEVE_MAX_NGRAM": "2", "postsieve.known_domains": "a.it, b.it", "crm_enabled": "no", "weight_count": "0.5", "HOME": "/x"})
+    assert got == replace(DEFAULT, max_ngram=2, known_domains=("a.it", "b.it"), crm_enabled=False, weight_count=0.5)
+    assert lists.crm_available() and not lists.crm_available(s=got) and not lists.crm_available(s=replace(DEFAULT, known_domains=()))
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from postsieve.session import work_dir
+
+    session = lambda master, top: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: top or d), sparkContext=SimpleNamespace(master=master))
+    assert work_dir(session("spark://h:7077", "hdfs://x/")).startswith("hdfs://x/postsieve/") and work_dir(session("local[4]", None)) and work_dir(session("local", None))
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError):
+            work_dir(session(master, None))
 
 
 def test_tables(spark):
