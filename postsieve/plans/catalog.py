@@ -9,8 +9,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.functions import pii, signals, terms, text
-from postsieve.operators import candidates, canonical, classify, dictionary, entities, evaluate
+from postsieve.functions import signals, terms, text
+from postsieve.operators import candidates, canonical, classify, dictionary, entities, evaluate, relevance
 from postsieve.plans import oracle as o
 from postsieve.plans import triage
 from postsieve.plans import views as v
@@ -228,6 +228,13 @@ def prompt_candidates(spark, d):
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["x"]), ",").alias("listed"))
 
 
+@query()
+def candidates_relevant(spark, d):
+    mails = canon(spark, d)
+    rows = candidates.extract(mails, scorer=relevance.scorer())
+    return rows.filter("embedding_score > 0").select("doc_id", "rank", "source", "term", "embedding_score", F.round("composite_score", 9).alias("composite_score"))
+
+
 _STATUS = f"""
 SELECT c.doc_id, c.subject, c.body, c.from_address, CASE WHEN lower(trim(c.from_address)) IN ({', '.join(o.quoted(x) for x in lists.DEFAULT.known_emails)}) THEN 'exact'
   WHEN split_part(lower(trim(c.from_address)), '@', 2) IN ({', '.join(o.quoted(x) for x in lists.DEFAULT.known_domains)}) THEN 'domain' ELSE 'none' END AS crm_match, {o.text_signal('c.body')} AS signal FROM canon c

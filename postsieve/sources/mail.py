@@ -25,9 +25,28 @@ PARSED = (
 
 
 def scan(spark: SparkSession, path: str, recursive: bool = True, s: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(path, content) of the ``.eml`` files below a path, and (path, size, reason) of those that are too large, which are never read into a row."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return files.filter(F.col("length") <= s.max_email_bytes).select("path", "content"), files.filter(F.col("length") > s.max_email_bytes).select("path", F.col("length").alias("size"), F.lit("too_large").alias("reason"))
+    """(path, content) of the ``.eml`` files below a path, and (path, size, reason) of files that are too large or no ``.eml``, whose content is never read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    mails = files.option("pathGlobFilter", "*.{eml,EML}").load(path).filter(F.col("length") <= s.max_email_bytes).select("path", "content")
+    reason = F.when(~F.lower("path").endswith(".eml"), "not_eml").when(F.col("length") > s.max_email_bytes, "too_large")
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    return mails, every.select("path", F.col("length").alias("size"), reason.alias("reason")).filter("reason is not null")
+
+
+def strict_text(part) -> str:
+    """A part's text by its charset if that holds throughout, else by the charset that its bytes suggest, else as UTF-8 with replacements."""
+    payload = part.get_payload(decode=True)
+    if payload is None:
+        return ""
+    if charset := part.get_content_charset():
+        try:
+            return payload.decode(charset)
+        except (UnicodeDecodeError, LookupError):
+            pass
+    from charset_normalizer import from_bytes
+
+    best = from_bytes(payload).best()
+    return str(best) if best else payload.decode("utf-8", errors="replace")
 
 
 def _decoded(part) -> str | None:

@@ -180,6 +180,28 @@ def test_safe_regex(spark):
     assert not re.search(row[1].r, "anything") and not re.search(row[0].r, "axb")
 
 
+def test_offline_relevance(spark):
+    from postsieve.operators import relevance
+
+    words = "fattura errata fattura del cliente rimborso".split()
+    got = relevance.relevant(words, 2, top=4, stop=frozenset(["del"]))
+    names = sorted({"fattura", "errata", "cliente", "rimborso", "fattura errata", "errata fattura", "fattura cliente", "cliente rimborso"})
+    assert len(got) == 4 and set(k for k, _ in got) <= set(names) and all(-1 <= x <= 1 for _, x in got)
+    # The choice again, term by term.
+    unit = lambda v: v / (sum(x * x for x in v) ** 0.5)
+    vec = {t: unit(sum(relevance.vector(w) for w in t.split())) for t in names}
+    doc = unit(sum(relevance.vector(w) for w in words if w != "del"))
+    chosen = []
+    while len(chosen) < 4:
+        worth = {t: 0.3 * float(vec[t] @ doc) - (0.7 * max(float(vec[t] @ vec[c]) for c in chosen) if chosen else 0) for t in names if t not in chosen}
+        chosen.append(max(worth, key=worth.get))
+    assert [k for k, _ in got] == chosen and got[0][1] == pytest.approx(float(vec[chosen[0]] @ doc), abs=1e-3)
+    docs = frame(spark, [(1, "Fattura", "la fattura errata del cliente"), (2, None, None)], "doc_id long, subject string, body string")
+    rows = candidates.extract(docs, scorer=relevance.scorer()).collect()
+    assert {r.doc_id for r in rows} == {1} and any(r.embedding_score > 0 for r in rows) and relevance.relevant([], 3) == []
+    assert all(r.composite_score == pytest.approx(0.3 * math.log1p(r["count"]) / 5 + 0.5 * r.embedding_score + 0.2 * (r.source == "subject")) for r in rows)
+
+
 def test_pattern_matches(spark):
     texts = frame(spark, [(1, "Fattura 12 e fattura 345"), (2, None)], "doc_id long, text string")
     patterns = frame(spark, [("whole", "[0-9]+"), ("group", "(?i)(fattura) [0-9]"), ("two", "([a-z]+) ([0-9])"), ("bad", "(")], "name string, pattern string")

@@ -31,7 +31,7 @@ def by_name(df):
 
 def test_ingest(spark, tmp_path):
     good, large = mail.scan(spark, files(tmp_path))
-    assert large.count() == 0 and good.count() == len(MAILS)
+    assert [(r.path.rsplit("/", 1)[1], r.size, r.reason) for r in large.collect()] == [("note.txt", 2, "not_eml")] and good.count() == len(MAILS)
     got = by_name(mail.ingest(good))
     plain = got["plain"]
     assert plain.canonical_text == "ciao mondo,\nscrivi a [EMAIL_1] o [PHONE_1]." and plain.success
@@ -49,6 +49,14 @@ def test_ingest(spark, tmp_path):
     assert stamped["plain"].document_id != plain.document_id
 
 
+def test_strict_text():
+    from email import message_from_bytes, policy
+
+    part = lambda head, body: message_from_bytes(b"Content-Type: text/plain" + head + b"\r\n\r\n" + body, policy=policy.compat32)
+    assert mail.strict_text(part(b"; charset=iso-8859-1", "è".encode("latin-1"))) == "è" and mail.strict_text(part(b"; charset=utf-8", "però".encode())) == "però"
+    assert mail.strict_text(part(b"; charset=x-none", b"abc")) == "abc" and mail.strict_text(part(b"", b"")) == "" and "\ufffd" not in mail.strict_text(part(b"; charset=ascii", "perché così".encode()))
+
+
 def test_empty_and_broken_bytes():
     """Spark's file sources skip files of no bytes; the parser takes them."""
     assert mail.parse_bytes(b"")["error"] is None and mail.parse_bytes(b"\xff\xfe\x00")["error"] is None
@@ -58,7 +66,7 @@ def test_limits(spark, tmp_path):
     from postsieve.settings import Settings
 
     good, large = mail.scan(spark, files(tmp_path), s=Settings(max_email_bytes=100))
-    assert {r.reason for r in large.collect()} == {"too_large"} and good.count() + large.count() == len(MAILS)
+    assert {r.reason for r in large.collect()} == {"too_large", "not_eml"} and good.count() + large.count() == len(MAILS) + 1
     flat, _ = mail.scan(spark, str(tmp_path), recursive=False)
     assert 0 < flat.count() < len(MAILS)
 
