@@ -9,7 +9,7 @@ and the run's least doc_id comes first. Runs are the groups; no digest decides w
 A text with more than one in ``HOT`` of all rows or bytes is dealt over as many runs as that share goes into it, so that
 no task holds more of it. Each such run is then represented by its first row with the whole text, and
 the representatives are sorted and compared with their neighbours in the same way. There are at most 2 * ``HOT`` texts
-of this kind, which bounds the table that deals them.
+of this kind, and one for each ``MOST_BYTES`` of the input, which bounds the table that deals them: two numbers a text, some 5 MB at 100 TB.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from .common import BLANKS, id_text, written
 
 PREFIX = 16
 HOT = 16_384
-#: Rows and bytes of a text that always go to one run.
-ROWS, BYTES = 1000, 4 << 20
+#: Rows and bytes of a text that always go to one run, and bytes that never do, as a window holds the rows of a run.
+ROWS, BYTES, MOST_BYTES = 1000, 4 << 20, 256 << 20
 KEY = ("head", "h", "salt", "run")
 
 
@@ -38,7 +38,7 @@ def _dealt(norm: DataFrame) -> DataFrame:
     """Texts with their sort key, and a salt for those that one task shouldn't hold alone."""
     sizes = written(norm.groupBy(F.xxhash64("norm").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("norm")).alias("bytes")))
     rows, size = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    parts = F.ceil(F.greatest(F.col("n") / max(ROWS, rows / HOT), F.col("bytes") / max(BYTES, size / HOT))).cast("int")
+    parts = F.ceil(F.greatest(F.col("n") / max(ROWS, rows / HOT), F.col("bytes") / max(BYTES, min(MOST_BYTES, size / HOT)))).cast("int")
     hot = sizes.select(F.col("h").alias("hot"), parts.alias("parts")).filter("parts > 1")
     keyed = norm.select("doc_id", "norm", F.substring("norm", 1, PREFIX).alias("head"), F.xxhash64("norm").alias("h"))
     salt = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.col("parts")).cast("int")

@@ -108,6 +108,7 @@ class Index:
         named = [(name, text) for name, texts in sorted(templates.items()) for text in texts]
         words = hashed_words(text.encode().translate(_PLAIN) for _, text in named)
         self.templates = [(name, h) for (name, _), (h, _) in zip(named, words, strict=True) if len(h) >= GRAM + WINDOW - 1]
+        self.words = [np.unique(h) for _, h in self.templates]
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, (_, h) in enumerate(self.templates):
             for value, at in zip(*(x.tolist() for x in _winnowed(h)), strict=True):
@@ -135,8 +136,8 @@ class Index:
             band, upto = min(BAND, n // 2), 0
             for p, q, low, high in chains(sorted(mine)):
                 lo, hi = max(upto, low - band), min(len(h), high + n + band)
-                if p < lo and q < lo:
-                    continue  # within the last match
+                if (p < lo and q < lo) or np.count_nonzero(_among(h[lo:hi], self.words[t])) < least * n:
+                    continue  # within the last match, or too few of the template's words
                 matched, a, b = align(h[lo:hi], template, low - band - lo, high + band - lo)
                 if matched >= least * n:
                     found.append((lo + a, lo + b, matched, matched / n, name))
@@ -144,6 +145,11 @@ class Index:
         return _apart(found)
 
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in ``known``, which is sorted."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def _apart(found: list[tuple[int, int, int, float, str]]) -> list[tuple[int, int, int, float, str]]:
     """Matches that don't overlap: the most matched words first, then the greatest coverage, the first place and name."""
     kept: list[tuple[int, int, int, float, str]] = []
