@@ -84,4 +84,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256
         FROM n JOIN g ON n.t = g.t
     """,
+    # Every pair of sets that share a shingle is counted in full: no sketches, no blocks.
+    "op2_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        l AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+        n AS (SELECT doc_id, len(s) AS n FROM l),
+        s AS (SELECT l.doc_id, n.n, unnest(l.s) AS x FROM l JOIN n ON n.doc_id = l.doc_id),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn, count(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80 GROUP BY ALL),
+        links AS (SELECT a, b FROM c WHERE shared * 100 >= 80 * (an + bn - shared)),
+        reach(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, k.b FROM reach r JOIN links k ON k.a = r.b),
+        top AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT n.doc_id, n.n AS n_shingles, top.component_id, n.doc_id = top.component_id AS kept FROM n JOIN top ON top.a = n.doc_id
+    """,
 }
