@@ -6,7 +6,7 @@ a DataFrame: all but the last return rows of ``docs`` with its columns as they a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postsieve.llm.common import table, written
@@ -17,17 +17,23 @@ from postsieve.llm.near_dedup import near_dedup
 from postsieve.llm.packing import pack
 from postsieve.llm.queries import tokenizer_path
 
-_ROW = "__stage_row"
+_ROW, _FILE, _AT, _NUMBER = "__stage_row", "__stage_file", "__stage_at", "__stage_number"
 #: The one profile where no row has a label: it takes all texts with letters. No text holds the n-gram 0.
 _ANY = {"=": [0]}
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows, written with a key of their own, and the same with that key as doc_id, for the operators.
+    """The rows with a key of their own, and the same with that key as doc_id, for the operators.
 
-    Stages decide by row: ids may be null or repeated.
+    Stages decide by row: ids may be null or repeated. A row's key is its place: the number of its file, in the order of names, and
+    its number in the file. So it is the same however often and in whatever splits the files are read, and texts need not be written
+    again for it. Rows that don't come straight from files are written first.
     """
-    rows = written(docs.withColumn(_ROW, F.monotonically_increasing_id()))
+    if docs._jdf.queryExecution().optimizedPlan().nodeName() != "LogicalRelation":
+        docs = written(docs)
+    placed = docs.select("*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.row_index").alias(_AT))
+    names = placed.select(_FILE).distinct().withColumn(_NUMBER, F.row_number().over(Window.orderBy(_FILE)).cast("long"))
+    rows = placed.join(written(names), _FILE).withColumn(_ROW, F.shiftleft(_NUMBER, 40) + F.col(_AT)).select(*docs.columns, _ROW)
     return rows, rows.withColumn("doc_id", F.col(_ROW))
 
 

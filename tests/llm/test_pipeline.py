@@ -4,7 +4,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 from test_dedup import edited, linked
 from test_scans import similarity
 from tokenizers import Tokenizer
@@ -81,6 +80,21 @@ def test_run(spark):
     assert p.ORACLE_SQL is None and [n for n, _ in p.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontamination", "packing"]
 
 
+def test_keys_are_the_same_in_all_splits(spark, docs, tmp_path):
+    docs([(None, f"t{i}", "it") for i in range(500)]).repartition(5).write.option("parquet.block.size", 2048).parquet(f"{tmp_path}/t")
+    read = lambda: p._keyed(spark.read.parquet(f"{tmp_path}/t"))
+    first = {r.text: r[p._ROW] for r in read()[0].collect()}
+    assert len(set(first.values())) == 500
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert {r.text: r.doc_id for r in read()[1].filter("text is not null").collect()} == first
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def plain_pipeline(rows, items):
     """The (doc_id, text) rows that a plain reading of the stages keeps, each row judged by itself."""
     order = lambda i: (rows[i][0] is None, rows[i][0] or 0, i)
@@ -109,7 +123,7 @@ def test_run_equals_a_plain_pipeline(spark, docs, tmp_path):
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     table = queries.table(spark, str(tmp_path), "documents")
     # Rows in the order in which they are numbered, which decides among rows of equal ids.
-    rows = [(r.doc_id, r.text) for r in table.withColumn("at", F.monotonically_increasing_id()).orderBy("at").collect()]
+    rows = [(r.doc_id, r.text) for r in table.orderBy("_metadata.file_path", "_metadata.row_index").collect()]
     want = plain_pipeline(rows, items)
     for _, stage in p.STAGES[:-1]:
         table = p.written(stage(spark, table, str(tmp_path)))
