@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, listed
 
 PROFILE = 400
 PER_LANGUAGE = 500
@@ -70,10 +70,10 @@ def fit_profiles(docs: DataFrame, lang: str = "lang", learn: Column | None = Non
         return {}
     # The least hashes of each language: a share of its rows that holds enough of them but for a negligible chance, then the least of these.
     likely = [(name, min((1 << 63) - 1, int((1 << 63) * (per_language + 8 * per_language**0.5 + 32) / n))) for name, n in counts.items()]
-    few = hashed.select("lang", "h").join(F.broadcast(rows.sparkSession.createDataFrame(likely, "lang string, most long")), "lang").filter("h <= most")
+    few = hashed.select("lang", "h").join(F.broadcast(listed(rows.sparkSession, likely, "lang string, most long")), "lang").filter("h <= most")
     ranks = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     cut = few.withColumn("k", ranks).filter(F.col("k") <= per_language).groupBy("lang").agg(F.max("h").alias("cut")).collect()
-    cuts = F.broadcast(rows.sparkSession.createDataFrame([(r.lang, r.cut) for r in cut], "lang string, cut long"))
+    cuts = F.broadcast(listed(rows.sparkSession, [(r.lang, r.cut) for r in cut], "lang string, cut long"))
     sample = hashed.join(cuts, "lang").filter("h <= cut")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -54,6 +54,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
                     crc.append(zlib.crc32(part))
             n = pa.array(piece, pa.int32())
             yield pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "piece": n, "start": pa.array(np.array(piece, np.int64) * capacity), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+        enc.ids.clear()  # the worker stays while later stages need the executor's memory
 
     return id_text(docs).mapInArrow(cut, PIECES)
 

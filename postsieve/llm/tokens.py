@@ -35,6 +35,8 @@ SAMPLE_DOCS = 1000
 TABLE_SIZE = 50_000
 #: Pre-tokens that a worker's cache holds at most (it starts anew beyond that), the characters of the longest, characters cut at once.
 CACHED, CACHED_CHARS, AT_ONCE = 600_000, 48, 1 << 19
+#: As CACHED, for pre-tokens with their ids, which take twice the memory of lengths: some 70 MB of a worker.
+CACHED_IDS = 300_000
 
 #: White space as the tokenizers know it, and the letters and numbers below U+0180.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -115,7 +117,7 @@ class Encoder:
         found = list(map(cache.get, pieces))
         if None not in found:
             return found
-        if len(cache) > CACHED:
+        if len(cache) > (CACHED if cache is self.lengths else min(CACHED, CACHED_IDS)):
             cache.clear()
             cache.update(self.table if cache is self.lengths else {})
         long = {}

@@ -178,3 +178,12 @@ def test_quality_held_out(spark):
 def test_remainders(docs):
     rows = docs([(i, "") for i in range(50)] + [(None, "")]).select("doc_id", id_remainder(4).alias("m")).collect()
     assert all(r.m == (None if r.doc_id is None else zlib.crc32(str(r.doc_id).encode()) % 4) for r in rows)
+
+
+def test_listed_rows_need_no_python_workers(spark):
+    from postsieve.llm.common import listed
+
+    for rows in ([("it", 5), ("è", 1 << 62)], []):
+        df = listed(spark, rows, "lang string, most long")
+        assert [tuple(r) for r in df.collect()] == rows and df.dtypes == [("lang", "string"), ("most", "bigint")]
+        assert "RDD" not in df._jdf.queryExecution().executedPlan().toString()

@@ -76,6 +76,34 @@ def test_small_caches_change_nothing(monkeypatch):
     assert list(map(enc.count, texts)) == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_ids_are_cached_up_to_a_bound_of_their_own(monkeypatch):
+    from postsieve.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHED_IDS", 100)
+    enc, lib = Encoder(WORD), Tokenizer.from_file(WORD)
+    for k in range(40):
+        text = " ".join(f"a{chr(97 + i)}{chr(97 + k % 26)}" for i in range(20))
+        assert np.frombuffer(enc.text_ids(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids and len(enc.ids) <= 120
+
+
+def test_workers_keep_no_ids(docs):
+    kept = {}
+
+    def look(batches):
+        import pyarrow as pa
+
+        from postsieve.llm.tokens import encoder
+
+        for _ in batches:
+            yield pa.record_batch({"n": pa.array([len(encoder(WORD).ids)], pa.int64())})
+
+    for _ in range(2):
+        rows = docs([(i, prose(random.Random(i), 50)) for i in range(20)]).coalesce(1)
+        packing.token_pieces(rows, WORD).collect()
+        kept = {r.n for r in rows.select("doc_id").mapInArrow(look, "n long").collect()}
+    assert kept == {0}
+
+
 def test_counts(docs):
     rows = list(enumerate(TEXTS)) + [(None, "ab cd"), (6, "ab cd")]
     lib = Tokenizer.from_file(BYTE)
